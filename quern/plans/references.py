@@ -37,7 +37,7 @@ def _canonical(col: str, family: str = "") -> str:
 
 _FOUND = f"""
 with refs as (
-  select 'capec_related_weakness' tbl, edge_id row_key, 'source_id' field, {_canonical("source_id", "CAPEC")} ref_id, ingested_at at, 'capec' parent from capec_related_weakness
+  select 'capec_related_weakness' tbl, edge_id row_key, 'source_id' field, {_canonical("source_id", "CAPEC")} ref_id, ingested_at seen_at, 'capec' parent from capec_related_weakness
   union all select 'capec_related_weakness', edge_id, 'target_id', {_canonical("target_id", "CWE")}, ingested_at, 'node' from capec_related_weakness
   union all select 'attack_relationships', edge_id, 'source_id', {_canonical("source_id")}, ingested_at, 'node' from attack_relationships
   union all select 'attack_relationships', edge_id, 'target_id', {_canonical("target_id")}, ingested_at, 'node' from attack_relationships
@@ -46,8 +46,8 @@ with refs as (
   select 'capec' parent, {_canonical("capec_id", "CAPEC")} ref_id, min(ingested_at) born, min(revoked_at) ended from capec_patterns group by all
   union all select 'node', {_canonical("node_id", "CWE")}, min(ingested_at), min(revoked_at) from graph_nodes group by all
 ), found as (
-  select distinct tbl, strftime(at, '%Y-%m') as period, row_key, field, r.ref_id,
-    case when p.ref_id is null then 'missing' when at < born then 'late' when at >= ended then 'deleted' end reason
+  select distinct tbl, strftime(seen_at, '%Y-%m') as period, row_key, field, r.ref_id,
+    case when p.ref_id is null then 'missing' when seen_at < born then 'late' when seen_at >= ended then 'deleted' end reason
   from refs r left join parents p using (parent, ref_id) where r.ref_id is not null
 )
 """
