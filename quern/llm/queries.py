@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.leakage import leaked_items
 from quern.llm.neardup import near_duplicate_pairs
 from quern.llm.overlap import overlap_pairs, overlap_report
+from quern.llm.tokens import encode_corpus, split_oversized
 from quern.session import table
 
 
@@ -26,10 +28,37 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(records, "record_id", "text")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item with the number of documents that carry it and the most of it that one carries."""
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max(F.col("carried") / F.col("item_words")).alias("most_carried"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "documents")).where("piece = 0").select("doc_id").distinct()
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p6_found": p6_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_pieces": p10_pieces,
 }
 SQL: dict[str, str] = {}
 
