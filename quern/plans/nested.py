@@ -1,4 +1,28 @@
 """Queries of problem 3: deeply nested records as related flat tables."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.operators.nested import context_tables, provenance_rows
+from quern.session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance_rows(table(spark, sf_dir, "retrieval_contexts"))
+
+
+def p3_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tables(table(spark, sf_dir, "retrieval_contexts"))["contexts"]
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tables(table(spark, sf_dir, "retrieval_contexts"))["entities"]
+
+
+def p3_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tables(table(spark, sf_dir, "retrieval_contexts"))["provenance"]
+
+
+QUERIES = {"p3_found": p3_found, "p3_contexts": p3_contexts, "p3_entities": p3_entities, "p3_provenance": p3_provenance}
+SQL: dict[str, str] = {}
