@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Deeper levels than this are kept as one scalar with their JSON text.
@@ -153,12 +153,15 @@ def context_objects(contexts: DataFrame, columns: list[str]) -> DataFrame:
     return objects(shredded(last, "context_id", "context_json", columns, ["context", "data"], _KNOWN), "context_id", columns)
 
 
+def _is_entity() -> Column:
+    steps = F.split("path", r"\.")
+    root = (F.size(steps) == 1) & ~F.col("path").isin(CONTEXT_FIELDS) & (F.col("path") != "")
+    return root | ((F.size(steps) == 2) & steps[0].isin("attack", "entities"))
+
+
 def entities_of(objs: DataFrame) -> DataFrame:
     """The entity objects with their category, whether they stand under ``entities``, ``attack`` or in the root."""
-    inner = F.split("path", r"\.")
-    root = (F.size(inner) == 1) & ~F.col("path").isin(CONTEXT_FIELDS) & (F.col("path") != "")
-    nested = (F.size(inner) == 2) & inner[0].isin("attack", "entities")
-    return objs.where(root | nested).withColumn("category", F.col("label"))
+    return objs.where(_is_entity()).withColumn("category", F.col("label"))
 
 
 def context_tables(contexts: DataFrame) -> dict[str, DataFrame]:
@@ -192,16 +195,17 @@ def provenance_rows(contexts: DataFrame) -> DataFrame:
     provenance entry of each entity; an entity without one gives a row with prov_pos -1.
     """
     objs = context_objects(contexts, ["id", "entity_id", "attack_id", "relationship_type"])
-    # one grouping by entity gathers its properties; its provenance entries are joined to it
-    entities = entities_of(objs).select("context_id", "node", "category", F.col("ordinal").alias("entity_pos"), F.coalesce("s_id", "s_entity_id", F.lit("")).alias("entity_id"))
-    parts = objs.where("label in ('properties', 'provenance')").select("context_id", F.col("parent").alias("node"), "label", "ordinal", "s_attack_id", "s_relationship_type")
-    props = parts.where("label = 'properties' and ordinal = 0").select("context_id", "node", F.col("s_attack_id").alias("attack_id"))
-    prov = parts.where("label = 'provenance'").select("context_id", "node", F.col("ordinal").alias("prov_pos"), F.col("s_relationship_type").alias("relationship_type"))
-    return (
-        entities.join(props, ["context_id", "node"], "left")
-        .join(prov, ["context_id", "node"], "left")
-        .select(
-            "context_id", "category", "entity_pos", F.coalesce("prov_pos", F.lit(-1)).alias("prov_pos"), "entity_id",
-            F.coalesce("relationship_type", F.lit("")).alias("relationship_type"), F.coalesce("attack_id", F.lit("")).alias("attack_id"),
-        )
+    # An entity, its properties and its provenance entries meet in one grouping by the entity's node: no table is
+    # read or joined twice.  A group is what one entity of one text holds.
+    role = F.when(_is_entity(), "entity").when((F.col("label") == "properties") & (F.col("ordinal") == 0), "properties").when(F.col("label") == "provenance", "provenance")
+    parts = objs.withColumn("role", role).where("role is not null").withColumn("entity", F.expr("case when role = 'entity' then node else parent end"))
+    when = lambda name, col: F.when(F.col("role") == name, col)
+    grouped = parts.groupBy("context_id", "entity").agg(
+        F.max(when("entity", F.struct("label", "ordinal", F.coalesce("s_id", "s_entity_id", F.lit("")).alias("entity_id")))).alias("e"),
+        F.max(when("properties", F.col("s_attack_id"))).alias("attack_id"),
+        F.collect_list(when("provenance", F.struct(F.col("ordinal").alias("prov_pos"), F.col("s_relationship_type").alias("relationship_type")))).alias("prov"),
+    )
+    return grouped.where("e is not null").select("context_id", "e", "attack_id", F.explode_outer("prov").alias("p")).select(
+        "context_id", F.col("e.label").alias("category"), F.col("e.ordinal").alias("entity_pos"), F.coalesce("p.prov_pos", F.lit(-1)).alias("prov_pos"), "e.entity_id",
+        F.coalesce("p.relationship_type", F.lit("")).alias("relationship_type"), F.coalesce("attack_id", F.lit("")).alias("attack_id"),
     )
