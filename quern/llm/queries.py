@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from quern.llm.leakage import leaked_items
 from quern.llm.neardup import near_duplicate_pairs
 from quern.llm.overlap import overlap_pairs, overlap_report
+from quern.llm.pairs import broken_pairs
 from quern.llm.tokens import encode_corpus, split_oversized
 from quern.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(table(spark, sf_dir, "generations"))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_found(spark, sf_dir).groupBy("field", "defect").agg(F.count("*").alias("answers"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_pairs(table(spark, sf_dir, "gold_records"))
 
@@ -51,6 +60,8 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_counts": p2_counts,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p6_found": p6_found,
