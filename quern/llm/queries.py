@@ -11,10 +11,20 @@ from quern.llm.leakage import leaked_items
 from quern.llm.neardup import near_duplicate_pairs
 from quern.llm.overlap import overlap_pairs, overlap_report
 from quern.llm.pairs import broken_pairs
+from quern.llm.sampling import matched_sample, shortfalls
+from quern.llm.splits import assign_splits, torn_groups
 from quern.llm.tokens import encode_corpus, split_oversized
 from quern.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shortfalls(table(spark, sf_dir, "corpus_records"), table(spark, sf_dir, "sample_targets")).select("task_type", "ids_label", "difficulty")
+
+
+def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_sample(table(spark, sf_dir, "corpus_records"), table(spark, sf_dir, "sample_targets"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_pairs(table(spark, sf_dir, "generations"))
 
@@ -31,6 +41,14 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "gold_records"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return torn_groups(table(spark, sf_dir, "gold_records"))
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_splits(table(spark, sf_dir, "gold_records"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = F.lit("")
     records = table(spark, sf_dir, "corpus_records").select("record_id", F.concat(F.coalesce("instruction", blank), F.lit(" "), F.coalesce("output", blank)).alias("text"))
@@ -60,10 +78,14 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_sample": p1_sample,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_splits": p5_splits,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
@@ -71,7 +93,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
 }
-SQL: dict[str, str] = {}
+_PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_CELL = ", ".join(f"nullif({_PLAIN.format(c)}, '') c{i}" for i, c in enumerate(("task_type", "ids_label", "difficulty")))
+_TIE = "case when lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) not in ('', 'unknown', 'n/a', 'none', '-') then lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) end"
+SQL: dict[str, str] = {
+    "p1_found": f"""
+with have as (select c0, c1, c2, count(distinct record_id) n from (select record_id, {_CELL} from corpus_records) group by all),
+want as (select *, {_CELL} from sample_targets)
+select task_type, ids_label, difficulty from want left join have using (c0, c1, c2)
+where round(greatest(min_rows, target_share * sample_size)) > coalesce(n, 0)""",
+    "p5_found": f"""
+with recursive rows_ as (
+  select distinct record_id, {_TIE.format("base_context_id")} c, {_TIE.format("sample_id")} s,
+    case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('validation', 'valid', 'val', 'dev') then 'validation' when lower(trim(split)) in ('test', 'testing', 'holdout') then 'test' end sp
+  from gold_records
+), edges as (select distinct 'c' || c u, 's' || s v from rows_ where c is not null and s is not null),
+both_ as (select u, v from edges union all select v, u from edges),
+reach as (select u node, u root from both_ union select b.v, r.root from reach r join both_ b on b.u = r.node),
+comp as (select node, min(root) root from reach group by node),
+placed as (select record_id, sp, coalesce(x.root, coalesce('c' || c, 's' || s)) g from rows_ left join comp x on x.node = coalesce('c' || c, 's' || s)),
+torn as (select g, min(record_id) group_id from placed where g is not null group by g having count(distinct sp) > 1)
+select distinct record_id, group_id from placed join torn using (g)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
