@@ -195,17 +195,22 @@ def provenance_rows(contexts: DataFrame) -> DataFrame:
     provenance entry of each entity; an entity without one gives a row with prov_pos -1.
     """
     objs = context_objects(contexts, ["id", "entity_id", "attack_id", "relationship_type"])
-    # An entity, its properties and its provenance entries meet in one grouping by the entity's node: no table is
-    # read or joined twice.  A group is what one entity of one text holds.
+    # An entity, its properties and its provenance entries meet in one window by the entity's node: no table is
+    # read or joined twice, and no list is built.  A window is what one entity of one text holds.
     role = F.when(_is_entity(), "entity").when((F.col("label") == "properties") & (F.col("ordinal") == 0), "properties").when(F.col("label") == "provenance", "provenance")
     parts = objs.withColumn("role", role).where("role is not null").withColumn("entity", F.expr("case when role = 'entity' then node else parent end"))
     when = lambda name, col: F.when(F.col("role") == name, col)
-    grouped = parts.groupBy("context_id", "entity").agg(
-        F.max(when("entity", F.struct("label", "ordinal", F.coalesce("s_id", "s_entity_id", F.lit("")).alias("entity_id")))).alias("e"),
-        F.max(when("properties", F.col("s_attack_id"))).alias("attack_id"),
-        F.collect_list(when("provenance", F.struct(F.col("ordinal").alias("prov_pos"), F.col("s_relationship_type").alias("relationship_type")))).alias("prov"),
-    )
-    return grouped.where("e is not null").select("context_id", "e", "attack_id", F.explode_outer("prov").alias("p")).select(
-        "context_id", F.col("e.label").alias("category"), F.col("e.ordinal").alias("entity_pos"), F.coalesce("p.prov_pos", F.lit(-1)).alias("prov_pos"), "e.entity_id",
-        F.coalesce("p.relationship_type", F.lit("")).alias("relationship_type"), F.coalesce("attack_id", F.lit("")).alias("attack_id"),
+    own = Window.partitionBy("context_id", "entity")
+    return (
+        parts.select(
+            "context_id", "role", F.col("ordinal").alias("prov_pos"), F.col("s_relationship_type").alias("relationship_type"),
+            F.max(when("entity", F.struct("label", "ordinal", F.coalesce("s_id", "s_entity_id", F.lit("")).alias("entity_id")))).over(own).alias("e"),
+            F.max(when("properties", F.col("s_attack_id"))).over(own).alias("attack_id"),
+            F.count(when("provenance", F.lit(1))).over(own).alias("entries"),
+        )
+        .where("e is not null and (role = 'provenance' or role = 'entity' and entries = 0)")
+        .select(
+            "context_id", F.col("e.label").alias("category"), F.col("e.ordinal").alias("entity_pos"), F.when(F.col("role") == "provenance", F.col("prov_pos")).otherwise(-1).alias("prov_pos"),
+            "e.entity_id", F.when(F.col("role") == "provenance", F.coalesce("relationship_type", F.lit(""))).otherwise("").alias("relationship_type"), F.coalesce("attack_id", F.lit("")).alias("attack_id"),
+        )
     )
