@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["references", "nested"]
+MODULES = ["references", "nested", "flows"]
 
 
 def _all(name: str) -> dict:
