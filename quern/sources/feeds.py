@@ -76,7 +76,7 @@ def capec_graph(rows: DataFrame, all_weaknesses: bool = False) -> tuple[DataFram
     natures = F.create_map(*[F.lit(x) for pair in CAPEC_EDGES.items() for x in pair])
     typed = related.select(F.try_element_at(natures, F.trim(F.col("r.nature"))).alias("type"), F.col("capec_id").alias("src"), I.pattern_id(F.col("r.capec_id")).alias("dst"), F.col("r.nature").alias("nature"))
     fields = I.delimited_all if all_weaknesses else I.delimited
-    weak = ok.select(F.lit("RELATED_WEAKNESS").alias("type"), F.col("capec_id").alias("src"), I.weakness_id(F.explode(fields(F.col("`Related Weaknesses`")))).alias("dst")).where("dst != ''")
+    weak = ok.select(F.lit("RELATED_WEAKNESS").alias("type"), F.col("capec_id").alias("src"), F.explode(F.transform(fields(F.col("`Related Weaknesses`")), I.weakness_id)).alias("dst")).where("dst != ''")
     mapped = ok.select(F.lit("MAPS_TO_ATTACK").alias("type"), F.col("capec_id").alias("src"), F.explode(I.mapped_techniques(F.col("`Taxonomy Mappings`"))).alias("dst"))
     edges = reduce(DataFrame.unionByName, [typed.where("type is not null").drop("nature"), weak, mapped]).distinct()
     warnings = named.where("capec_id is null").select(F.lit(None).cast("string").alias("src"), F.lit("row without id").alias("warning")).unionByName(typed.where("type is null").select("src", F.concat(F.lit("unsupported nature "), "nature").alias("warning")))
