@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.leakage import leaked_items
-from quern.llm.neardup import near_duplicate_pairs
+from quern.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quern.llm.overlap import overlap_pairs, overlap_report
 from quern.llm.pairs import broken_pairs
 from quern.llm.sampling import matched_sample, shortfalls
@@ -49,10 +49,17 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(table(spark, sf_dir, "gold_records"))
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = F.lit("")
-    records = table(spark, sf_dir, "corpus_records").select("record_id", F.concat(F.coalesce("instruction", blank), F.lit(" "), F.coalesce("output", blank)).alias("text"))
-    return near_duplicate_pairs(records, "record_id", "text")
+    return table(spark, sf_dir, "corpus_records").select("record_id", F.concat(F.coalesce("instruction", blank), F.lit(" "), F.coalesce("output", blank)).alias("text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_pairs(_corpus_texts(spark, sf_dir), "record_id", "text")
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(_corpus_texts(spark, sf_dir), "record_id", "text")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_report": p9_report,

@@ -24,6 +24,7 @@ def availability(records: DataFrame, targets: DataFrame, key: str, dims: list[st
     for d in dims:
         ok = category(d).isNotNull()
         whole = ok if whole is None else whole & ok
+    targets = targets.select(*dims, "target_share", "min_rows", "sample_size")
     cells = targets.withColumn("cell", F.when(whole, joined))
     rows = records.where(whole).select(F.col(key).cast("long").alias("key"), joined.alias("cell")).where("key is not null")
     rows = rows.join(targets.where(whole).select(joined.alias("cell")).distinct(), "cell", "left_semi").distinct()
@@ -32,12 +33,12 @@ def availability(records: DataFrame, targets: DataFrame, key: str, dims: list[st
 
 
 def shortfalls(records: DataFrame, targets: DataFrame, key: str = "record_id", dims: tuple[str, ...] = ("task_type", "ids_label", "difficulty")) -> DataFrame:
-    """(the targets' columns, wanted, available, missing): the cells that cannot be filled.
+    """(dims, target_share, min_rows, sample_size, wanted, available, missing): the cells that cannot be filled.
 
     wanted is the greater of min_rows and target_share * sample_size, rounded.  Categories agree once case and
     everything but letters and digits are dropped; records with a null or blank category are in no cell, repeated
     records count once, and a target with a null or blank category has nothing available.  Nulls among a target's
-    numbers count as 0.
+    numbers count as 0.  Further columns of either table are ignored.
     """
     cells, _ = availability(records, targets, key, list(dims))
     wanted = F.round(F.greatest(F.coalesce("min_rows", F.lit(0)).cast("double"), F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0)))).cast("long")
@@ -85,7 +86,8 @@ def matched_sample(records: DataFrame, targets: DataFrame, key: str = "record_id
     The driver gets one row for each target: quotas are allocated there.  Of each cell the records with the
     smallest random keys are taken: whole buckets of keys below the boundary, and of the boundary's bucket, a
     4096th of the cell, the smallest.  So no task ranks a whole cell, and the choice is the same whatever the
-    partitioning.  Repeated records count once; records in no cell are never drawn.
+    partitioning.  Repeated records count once; records in no cell are never drawn; further columns are ignored.
+    Empty tables give an empty sample.
     """
     spark = records.sparkSession
     cells, rows = availability(records, targets, key, list(dims))
