@@ -51,7 +51,7 @@ def provenance_score(provenance: Column, distance: Column) -> Column:
 
 
 def vulnerability_score(severity: Column, base_score: Column) -> Column:
-    return weight(SEVERITY_WEIGHT, severity, 0.0) + F.coalesce(F.least(base_score / 10.0, F.lit(1.0)), F.lit(0.0))
+    return weight(SEVERITY_WEIGHT, severity, 0.0) + F.when(base_score.isNotNull(), F.least(base_score / 10.0, F.lit(1.0))).otherwise(0.0)
 
 
 def pattern_score(likelihood: Column, severity: Column) -> Column:
