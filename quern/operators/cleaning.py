@@ -31,7 +31,7 @@ def normalised_names(names: list[str]) -> list[str]:
     seen: dict[str, int] = {}
     out = []
     for raw in names:
-        name = raw.strip().lstrip("﻿").strip()
+        name = raw.strip().lstrip("\ufeff").strip()
         n = seen.get(name, 0)
         seen[name] = n + 1
         out.append(f"{name}.{n}" if n else name)

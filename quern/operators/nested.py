@@ -40,7 +40,7 @@ def parse(text: str | None) -> object:
     """The value of a JSON text; None if it is null, empty or unreadable.  A byte order mark does not matter."""
     if text is None:
         return None
-    text = text.lstrip("﻿ \t\r\n\0")
+    text = text.lstrip("\ufeff \t\r\n\0")
     for _ in range(8):
         try:
             x = json.loads(text)
@@ -48,7 +48,7 @@ def parse(text: str | None) -> object:
             return None
         if not isinstance(x, str):
             return x
-        text = x.lstrip("﻿ \t\r\n")
+        text = x.lstrip("\ufeff \t\r\n")
     return None
 
 

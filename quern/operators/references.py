@@ -27,7 +27,7 @@ def canonical_id(col: Column | str, family: str = "") -> Column:
 
     A bare number gets the prefix of ``family``; null and blank give null.
     """
-    raw = F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"(?U)^[\s ]+|[\s ]+$", "")
+    raw = F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"(?U)^\s+|\s+$", "")
     low = F.lower(raw)
     named = F.when(low.rlike(r"^(capec|cwe)-"), F.upper(raw)).otherwise(low)
     if family:

@@ -60,7 +60,7 @@ def stix_graph(objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def read_capec(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a CAPEC dictionary; a byte order mark and quotes in the header do not matter."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return rows.toDF(*normalised_names([c.strip().lstrip("﻿").strip("'\" ") for c in rows.columns]))
+    return rows.toDF(*normalised_names([c.strip().lstrip("\ufeff").strip("'\" ") for c in rows.columns]))
 
 
 def capec_graph(rows: DataFrame, all_weaknesses: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -38,7 +38,7 @@ def inspect_flows(spark: SparkSession, folder: str, label: str = "Label") -> Dat
     files = csv_files(folder)
     heads = []
     for f in files:
-        names = [n.strip().lstrip("﻿").strip() for n in csv_header(spark, f)]
+        names = [n.strip().lstrip("\ufeff").strip() for n in csv_header(spark, f)]
         heads.append((Path(f).name, len(names), sorted({n for n in names if names.count(n) > 1}), label in names))
     dim = spark.createDataFrame(heads, "file string, columns int, repeated_columns array<string>, has_label boolean")
     counts = spark.read.text(files).where("trim(value) != ''").groupBy(F.col("_metadata.file_name").alias("_f")).agg((F.count("*") - 1).alias("rows"))
@@ -53,7 +53,7 @@ def read_flows(spark: SparkSession, folder: str, label: str = "Label") -> DataFr
     does not.
     """
     files = csv_files(folder)
-    heads = {f: [n.strip().lstrip("﻿").strip() for n in csv_header(spark, f)] for f in files}
+    heads = {f: [n.strip().lstrip("\ufeff").strip() for n in csv_header(spark, f)] for f in files}
     first = heads[files[0]]
     for f, names in heads.items():
         if names != first:

@@ -6,7 +6,7 @@ SCHEMA = "context_id long, context_json string, loaded_at timestamp_ntz, node st
 
 
 def test_parse():
-    assert parse(None) is None and parse("") is None and parse("{bad") is None and parse('﻿{"a": 1}') == {"a": 1}
+    assert parse(None) is None and parse("") is None and parse("{bad") is None and parse('\ufeff{"a": 1}') == {"a": 1}
     assert parse(json.dumps(json.dumps({"a": 1}))) == {"a": 1} and parse('"just text"') is None
     assert parse("[" * 100_000) is None
     assert unwrapped({"context": {"data": '{"attack": 1}'}}, ["context", "data"], ["attack"]) == {"attack": 1}

@@ -62,7 +62,7 @@ def test_stix(spark, tmp_path):
 
 
 def test_capec(spark, tmp_path):
-    head = "﻿'ID,Name,Description,Abstraction,Status,Likelihood Of Attack,Typical Severity,Related Attack Patterns,Related Weaknesses,Taxonomy Mappings\n"
+    head = "\ufeff'ID,Name,Description,Abstraction,Status,Likelihood Of Attack,Typical Severity,Related Attack Patterns,Related Weaknesses,Taxonomy Mappings\n"
     (tmp_path / "c.csv").write_text(head + '1,N,"d, ""q""",Meta,Draft,High,Low,::NATURE:ChildOf:CAPEC ID:100::NATURE:Odd:CAPEC ID:7::,::276::285::434::721::,::TAXONOMY NAME:ATTACK:ENTRY ID:1046:ENTRY NAME:x::\n,blank,,,,,,,,\n')
     rows = feeds.read_capec(spark, str(tmp_path / "c.csv"))
     patterns, edges, warnings = feeds.capec_graph(rows)
