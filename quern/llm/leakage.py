@@ -25,7 +25,7 @@ BLOCK_WORDS = 2_000_000
 #: Between two hits of one stretch: the most words apart, and the most that document and item may differ in that.
 GAP, SHIFT = 6, 3
 #: A stretch covers at least so many words of the item (or the whole of a shorter one), and hits this part of them.
-LEAST, DENSE = 8, 0.7
+LEAST, DENSE = 6, 0.7
 #: A document is verified against an item when its hits touch this part of the item's grams.
 TOUCHED = 0.15
 
@@ -34,7 +34,7 @@ def folded(text: pa.Array) -> pa.Array:
     """Texts without what does not matter: compatibility forms, marks, invisible characters, words broken at line ends."""
     text = pc.fill_null(text.cast(pa.string()), "")
     text = pc.replace_substring_regex(text, pattern=r"[\p{M}\p{Cf}]+", replacement="")
-    text = pc.replace_substring_regex(text, pattern=r"(\p{L})[-‐‑­][ \t]*\r?\n[ \t]*(\p{L})", replacement=r"\1\2")
+    text = pc.replace_substring_regex(text, pattern=r"(\p{L})[-\x{2010}\x{2011}\x{AD}][ \t]*\r?\n[ \t]*(\p{L})", replacement=r"\1\2")
     text = pc.utf8_normalize(text, form="NFKD")
     return pc.replace_substring_regex(text, pattern=r"[\p{M}\p{Cf}'’`]+", replacement="")
 

@@ -26,7 +26,7 @@ SPLIT_NAMES = {
 
 def split_name(col: Column | str) -> Column:
     """train, validation or test; null for no split or an unknown one.  Case and blanks around do not matter."""
-    raw = F.lower(F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"^[\s ]+|[\s ]+$", ""))
+    raw = F.lower(F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"(?U)^\s+|\s+$", ""))
     out = F.lit(None).cast("string")
     for name, spelled in SPLIT_NAMES.items():
         out = F.when(raw.isin(spelled), F.lit(name)).otherwise(out)
