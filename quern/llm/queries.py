@@ -104,7 +104,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _CELL = ", ".join(f"nullif({_PLAIN.format(c)}, '') c{i}" for i, c in enumerate(("task_type", "ids_label", "difficulty")))
 _TIE = "case when lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) not in ('', 'unknown', 'n/a', 'none', '-') then lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) end"
+# Words numbered by occurrence; pairs share one of the rarest words that a likeness of 0.85 cannot lose, and are then counted in full.
+_ALIKE = """tok as (select id, side, w, row_number() over (partition by id, side, w) k from (select id, side, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) w from txt)),
+len_ as (select id, side, count(*) n from tok group by all), df as (select w, k, count(*) d from tok group by all),
+ranked as (select id, side, w, k, row_number() over (partition by id, side order by d, w, k) r from tok join df using (w, k)),
+pre as (select r.* from ranked r join len_ using (id, side) where r.r <= n - ceil(0.85 * n - 1e-9) + 1),
+cand as (select distinct a.id a, b.id b, a.side sa, b.side sb from pre a join pre b using (w, k) where {pairs}),
+both_ as (select c.a, c.b, any_value(x.n) n, any_value(y.n) m, count(*) o from cand c join len_ x on x.id = c.a and x.side = c.sa join len_ y on y.id = c.b and y.side = c.sb join tok s on s.id = c.a and s.side = c.sa join tok u on u.id = c.b and u.side = c.sb and u.w = s.w and u.k = s.k group by c.a, c.b, c.sa, c.sb)
+select distinct least(a, b) record_id_a, greatest(a, b) record_id_b from both_ where o * 100 >= 85 * greatest(n, m)"""
 SQL: dict[str, str] = {
+    "p4_found": "with txt as (select distinct record_id id, lower(trim(split)) in ('train', 'training') side, coalesce(output, '') t from gold_records where lower(trim(split)) in ('train', 'training', 'validation', 'valid', 'val', 'dev', 'test', 'testing', 'holdout')), "
+    + _ALIKE.replace("{pairs}", "a.side and not b.side and a.id <> b.id"),
+    "p6_found": "with txt as (select distinct record_id id, 0 side, coalesce(instruction, '') || ' ' || coalesce(output, '') t from corpus_records), " + _ALIKE.replace("{pairs}", "a.id < b.id"),
     "p1_found": f"""
 with have as (select c0, c1, c2, count(distinct record_id) n from (select record_id, {_CELL} from corpus_records) group by all),
 want as (select *, {_CELL} from sample_targets)
