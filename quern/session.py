@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     times is computed once.  ``drop_cuts`` removes what a session has written.
     """
     spark = df.sparkSession
+    ensure_importable(spark)
     path = f"{checkpoint_dir(spark)}/quern-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _CUTS.append(path)
@@ -64,6 +66,16 @@ def drop_cuts(spark: SparkSession) -> int:
     return done
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers on machines that see this folder import the package, wherever the driver was started."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a scale folder."""
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
