@@ -33,7 +33,7 @@ def split_name(col: Column | str) -> Column:
     return out
 
 
-def content_chunks(window: int = 2, rate: int = 3, longest: int = 16, short_below: int = 41, long_from: int = 27, ahead: int = 3) -> Keys:
+def content_chunks(window: int = 2, rate: int = 3, longest: int = 16, short_below: int = 41, long_from: int = 27, ahead: int = 4) -> Keys:
     """Keys for overlaps: the digests of content-defined chunks, weighted by their number of words.
 
     A chunk ends after a word where the hash of the last ``window`` words is divisible by ``rate`` (on average
