@@ -38,7 +38,7 @@ def content_chunks(window: int = 2, rate: int = 3, longest: int = 16, short_belo
 
     A chunk ends after a word where the hash of the last ``window`` words is divisible by ``rate`` (on average
     every ``rate`` words), or after ``longest`` words.  Texts under ``short_below`` words are also, from
-    ``long_from`` words down only, cut into every two adjacent words, so that one edit cannot reach all chunks; such a pair weighs as much as the 12 shared words asked for.
+    ``long_from`` words down only, cut into every two adjacent words, so that one edit cannot reach all chunks; such a pair weighs as much as the 8 shared words asked for, and more.
     """
 
     def keys(words: np.ndarray, offsets: np.ndarray):
@@ -98,7 +98,7 @@ def cross_split_overlap(records: DataFrame, key: str = "record_id", split: str =
     sides = named.withColumn("side", F.when(F.col("split") == "train", 0).otherwise(F.when(F.col("split") == "validation", 1).otherwise(3)).cast("byte"))
     # bit 0 of side tells train from evaluation; the postings need no more
     texts = sides.select("row", (F.col("side").bitwiseAND(1)).cast("byte").alias("side"), "text")
-    pairs, members = alike(texts, content_chunks(), percent, cross=True, max_list=16, least=12)
+    pairs, members = alike(texts, content_chunks(), percent, cross=True, max_list=64, least=8)
     splits = sides.where("side != 0").select(F.col("row").alias("eval_id"), F.col("split").alias("eval_split")).distinct()
     train = members.where("side = 0").select(F.col("row").alias("train_id"), F.col("id").alias("a"))
     held = members.where("side = 1").select(F.col("row").alias("eval_id"), F.col("id").alias("b"))
