@@ -1,10 +1,14 @@
-"""Texts as columns: words, sentences, n-grams, cuts, JSON checks; all expressions run in the JVM."""
+"""Texts as columns: words, sentences, n-grams, cuts, JSON checks; all but ``embedded_json`` run in the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_BRACE = re.compile("[{}]")
 WORD = r"\b[a-zA-Z][a-zA-Z0-9_-]*\b"
 
 
@@ -89,3 +93,35 @@ def json_texts(col: Column | str) -> Column:
     t = unfenced(col)
     values = F.map_values(F.from_json(t, "map<string,string>"))
     return F.coalesce(F.array_join(F.transform(values, lambda v: F.regexp_replace(v, r'^\["|"\]$|","', " ")), " "), t)
+
+
+def clean_properties(col: Column, drop: tuple[str, ...] = ("raw_id", "source_file", "ingested_at", "stix_id", "tactic_short_names")) -> Column:
+    """A map of properties without internal keys and without empty values."""
+    return F.map_filter(col, lambda k, v: ~k.isin(*drop) & v.isNotNull() & ~v.isin("", "[]"))
+
+
+def compact_properties(col: Column, verbose: tuple[str, ...] = ("description", "detection", "execution_flow"), short: int = 420, long: int = 800) -> Column:
+    """A map of properties with its verbose values cut to ``short`` characters and all others to ``long``."""
+    return F.transform_values(col, lambda k, v: F.when(k.isin(*verbose), compacted(v, short)).otherwise(compacted(v, long)))
+
+
+def _first_objects(texts: pd.Series) -> pd.Series:
+    def first(text: str | None) -> str | None:
+        if text is None or (start := text.find("{")) < 0:
+            return None
+        depth = 0
+        for m in _BRACE.finditer(text, start):
+            depth += 1 if m.group() == "{" else -1
+            if not depth:
+                return text[start : m.end()]
+        return None
+
+    return texts.map(first, na_action=None)
+
+
+def embedded_json(col: Column | str) -> Column:
+    """The first object in braces that stands in a text, with its braces balanced; null if there is none.
+
+    Braces count wherever they stand, in strings, too.  Batches come by Arrow; no built-in function counts depth.
+    """
+    return F.pandas_udf(_first_objects, "string")(col)

@@ -121,6 +121,7 @@ def generation_evaluation(spark, d):
     """Rates of generated answers: readable JSON, caps hit, phrases, metadata; one pass over the table."""
     g = table(spark, d, "generations")
     t = F.coalesce("raw_output", F.lit(""))
+    # Texts of failed runs, and of naming an actor.
     errors = r"(?i)traceback|exception|runtimeerror|cuda out of memory|error:"
     actors = r"(?i)\battributed to\b|\bAPT\d+\b|\bthreat actor\b|\bactor attribution\b"
     return g.groupBy("model_mode").agg(
@@ -130,6 +131,12 @@ def generation_evaluation(spark, d):
     )
 
 
+def embedded_objects(spark, d):
+    """The objects in braces within generated answers, and how many of them are JSON."""
+    g = table(spark, d, "generations").select("model_mode", X.embedded_json("raw_output").alias("o"))
+    return g.groupBy("model_mode").agg(F.count("o").alias("objects"), F.count_if(X.parses_as_json("o")).alias("readable"), F.sum(F.length("o")).alias("chars"))
+
+
 def corpus_statistics(spark, d):
     """Distributions by three attributes and overall in one pass (grouping sets)."""
     g = _gold(spark, d).withColumn("chars", F.length("output"))
@@ -168,7 +175,7 @@ def _lengths(tbl: str, by: str, v: str, limit: int) -> str:
     return f'select {by}, count({v}) as "count", min({v}) as "min", max({v}) as "max", round(avg({v}), 2) as "mean", floor(median({v}))::bigint as "median", {pct}, count(*) filter ({v} > {limit}) above, round(100.0 * count(*) filter ({v} > {limit}) / count({v}), 3) above_percent from {tbl} where {v} is not null group by {by}'
 
 
-QUERIES = {f.__name__: f for f in (identifier_coverage, identifier_counts_any_case, ungrounded_identifiers, vocabulary_by_task, vocabulary_by_bucket, sentence_repetition, opening_repetition, top_openings, top_four_grams, value_counts, label_pivot, label_by_source, source_concentration, classifier_confusion, classifier_auc, run_deltas, token_length_audit, text_length_audit, longest_prompts, generation_evaluation, corpus_statistics, text_shapes)}
+QUERIES = {f.__name__: f for f in (identifier_coverage, identifier_counts_any_case, ungrounded_identifiers, vocabulary_by_task, vocabulary_by_bucket, sentence_repetition, opening_repetition, top_openings, top_four_grams, value_counts, label_pivot, label_by_source, source_concentration, classifier_confusion, classifier_auc, run_deltas, token_length_audit, text_length_audit, longest_prompts, generation_evaluation, embedded_objects, corpus_statistics, text_shapes)}
 _BUCKET = r"coalesce(try_cast(nullif(regexp_extract(coalesce(example_id, ''), '(\d{1,18})$', 1), '') as bigint), 0) % 8"
 
 

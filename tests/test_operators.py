@@ -160,3 +160,11 @@ def test_decisions_and_chat(spark):
     p, target = Q.prompt_and_target(F.col("t"))
     got = t.select("t", p.alias("p"), target.alias("x")).first()
     assert got.x == "answer" and got.t.startswith(got.p) and got.p.endswith("assistant<|end_header_id|>\n\n")
+
+
+def test_properties_and_embedded_objects(spark):
+    m = spark.sql("select map('name', 'x', 'raw_id', 'r', 'e', '', 'description', repeat('word ', 200)) m")
+    got = m.select(X.compact_properties(X.clean_properties(F.col("m")))).first()[0]
+    assert set(got) == {"name", "description"} and len(got["description"]) <= 420 and got["description"].endswith("...")
+    t = spark.createDataFrame([('say {"a": {"b": 1}} and {x}',), ("{open",), ("none",), (None,)], "t string")
+    assert [r[0] for r in t.select(X.embedded_json("t")).collect()] == ['{"a": {"b": 1}}', None, None, None]

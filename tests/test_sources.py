@@ -96,3 +96,14 @@ def test_label_mapping(spark, tmp_path):
     nodes = spark.createDataFrame([("n1", "Technique", "T1498")], "node_id string, label string, attack_id string")
     edges, lost = feeds.detected_as(feeds.read_label_mapping(spark, str(tmp_path / "m.json")), nodes)
     assert [(r.src, r.dst, r.confidence) for r in edges.collect()] == [("DDoS", "n1", "high")] and [r.label for r in lost.collect()] == ["Odd"]
+
+
+def test_graph_tables(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "Tool"), ("b", "Group")], "node_id string, label string")
+    edges = spark.createDataFrame([("USES_TOOL", "b", "a")], "type string, src string, dst string")
+    files.write_graph(nodes, edges, str(tmp_path / "g"))
+    n, e = files.read_graph(spark, str(tmp_path / "g"))
+    assert n.count() == 2 and e.where("type = 'USES_TOOL'").count() == 1
+    files.write_manifest(nodes, str(tmp_path / "m"), ["label", "gone"])
+    assert spark.read.csv(str(tmp_path / "m"), header=True).columns == ["label", "gone"]
+    assert files.first_existing([str(tmp_path / "x"), str(tmp_path / "g")]) == str(tmp_path / "g")
