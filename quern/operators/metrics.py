@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 
 def confusion(df: DataFrame, by: list[str], truth: Column, predicted: Column) -> DataFrame:
     """(by, tn, fp, fn, tp) of 0/1 columns; rows with a null in either do not count."""
@@ -22,11 +24,16 @@ def rates(matrix: DataFrame, digits: int = 6) -> DataFrame:
 def roc_auc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
     """One row: the area under the ROC curve by ranks, equal scores sharing their mean rank; null without both classes.
 
-    Scores are counted by value first, so the one ordered pass is over distinct scores.
+    Scores are counted by value and spread over range partitions, equal ones together; a score's rank is its
+    place within its partition plus all scores of lower partitions.  So no task orders all scores.
     """
     per = df.select(truth.cast("long").alias("y"), score.alias("s")).where("y is not null and s is not null").groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    upto = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rank = per.select("n", "p", (upto - F.col("n") + (F.col("n") + 1) / 2.0).alias("r"))
+    ranged = cut(per.repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("rows"))
+    before = sums.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranged.withColumn("upto", upto).join(F.broadcast(before), "part")  # one row a partition
+    rank = placed.select("n", "p", (F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("r"))
     total = rank.agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     return total.select(F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2.0, F.nullif(F.col("p") * neg, F.lit(0))).alias("auc"))

@@ -29,10 +29,14 @@ def findings(**rules: Column) -> Column:
 def record_findings(df: DataFrame, output: str, allowed: Column, required: list[str], order: list[str], provenance: str | None = None) -> DataFrame:
     """``df`` with ``errors``: missing fields, repeated records, missing provenance, invented identifiers, phrases.
 
-    Of equal records, told by the hash of the required fields, all but the first by ``order`` are repeated.
+    Of equal records, told by the hash of the required fields, all but the first by ``order`` (which tells records
+    apart) are repeated; the first is found by a minimum combined before the shuffle, not by ranking the copies.
     """
     text = F.lower(F.coalesce(F.col(output), F.lit("")))
-    again = F.row_number().over(Window.partitionBy("_hash").orderBy(*order)) > 1
+    hashed = df.withColumn("_hash", I.record_hash(*required))
+    place = F.struct(*order)
+    first = hashed.groupBy("_hash").agg(F.min(place).alias("_first"))
+    again = place != F.col("_first")
     rules = {f"missing field: {c}": F.col(c).isNull() for c in required}
     rules["duplicate example"] = again
     if provenance:
@@ -43,7 +47,7 @@ def record_findings(df: DataFrame, output: str, allowed: Column, required: list[
     rules["internal phrase"] = F.size(X.contains_any(text, INTERNAL_PHRASES)) > 0
     rules["visible role label"] = F.size(X.contains_any(text, ROLE_PHRASES)) > 0
     rules["graph taken for proof"] = X.claimed(output, PROOF, NO_PROOF)
-    return df.withColumn("_hash", I.record_hash(*required)).withColumn("errors", findings(**rules)).drop("_hash")
+    return hashed.join(first, "_hash").withColumn("errors", findings(**rules)).drop("_hash", "_first")
 
 
 def last_decisions(decisions: DataFrame, key: str, order: list[str]) -> DataFrame:
