@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,14 +41,30 @@ def lifetimes(parent: DataFrame, key: Column, born: str = "ingested_at", ended:
     return parent.select(key.alias("ref_id"), F.col(born).alias("_b"), F.col(ended).alias("_e")).where("ref_id is not null").groupBy("ref_id").agg(F.min("_b").alias("born"), F.min("_e").alias("ended"))
 
 
-def referring_rows(ref: Reference) -> DataFrame:
-    """(tbl, row_key, field, ref_id, at, parent) of every non-null reference; repeated deliveries count once."""
-    is_list = ref.frame.schema[ref.field].dataType.typeName() == "array"
-    value = F.explode(F.col(ref.field)) if is_list else F.col(ref.field)
-    rows = ref.frame.select(F.col(ref.row_key).cast("long").alias("row_key"), F.col(ref.at).alias("at"), value.alias("_v"))
-    return rows.select(
-        F.lit(ref.table).alias("tbl"), "row_key", F.lit(ref.field).alias("field"), canonical_id("_v", ref.family).alias("ref_id"), "at", F.lit(ref.parent).alias("parent")
-    ).where("ref_id is not null")
+def _tagged(ref: Reference) -> Callable[[Column], Column]:
+    """A value of a referring field as (field, ref_id, parent)."""
+
+    def tagged(value: Column) -> Column:
+        return F.struct(F.lit(ref.field).alias("field"), canonical_id(value, ref.family).alias("ref_id"), F.lit(ref.parent).alias("parent"))
+
+    return tagged
+
+
+def referring_rows(refs: list[Reference]) -> DataFrame:
+    """(tbl, row_key, field, ref_id, at, parent) of every non-null reference; a table is scanned once for all its fields."""
+    scans: dict[tuple, list[Reference]] = {}
+    for r in refs:
+        scans.setdefault((id(r.frame), r.table, r.row_key, r.at), []).append(r)
+    parts = []
+    for same in scans.values():
+        frame, one = same[0].frame, same[0]
+        flat = []
+        for r in same:
+            listed = frame.schema[r.field].dataType.typeName() == "array"
+            flat.append(F.coalesce(F.transform(r.field, _tagged(r)), F.array()) if listed else F.array(_tagged(r)(F.col(r.field))))
+        rows = frame.select(F.col(one.row_key).cast("long").alias("row_key"), F.col(one.at).alias("at"), F.explode(F.concat(*flat)).alias("r"))
+        parts.append(rows.select(F.lit(one.table).alias("tbl"), "row_key", "r.field", "r.ref_id", "at", "r.parent").where("ref_id is not null"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def orphan_references(refs: list[Reference], parents: dict[str, DataFrame]) -> DataFrame:
@@ -60,7 +77,7 @@ def orphan_references(refs: list[Reference], parents: dict[str, DataFrame]) -> D
     as ``late`` before its birth and as ``deleted`` from then on.  Rows with a null time are held only against
     ``missing``, with a null period.  Null and blank keys are no references.
     """
-    rows = reduce(DataFrame.unionByName, [referring_rows(r) for r in refs])
+    rows = referring_rows(refs)
     born = reduce(DataFrame.unionByName, [p.withColumn("parent", F.lit(name)) for name, p in parents.items()])
     # Partial aggregation leaves one row per key and task before the shuffle, however often a key is referred to.
     keys = rows.groupBy("parent", "ref_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
