@@ -1,18 +1,24 @@
 """Records that stand in the training split and in an evaluation split, by content-defined chunks.
 
-A rolling hash over ``window`` words cuts every normalised record; chunk digests are joined across the splits
-and the lengths of the shared chunks are summed into overlap fractions.  Pairs that share enough are then
-verified by their exact likeness.
+The pairs of training and evaluation records that are alike come from ``prefixes.alike``, which loses none.  For
+their overlap, a rolling hash over ``window`` words cuts both records; the lengths of the chunks that the two
+share are summed into overlap fractions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.words import mix, owners
-from quern.llm.linking import Keys, alike
+from quern.functions.words import bag_ids, hashed_words, list_column, mix, owners
+from quern.llm.prefixes import alike
+from quern.session import cut
+
+Chunks = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,21 +39,20 @@ def split_name(col: Column | str) -> Column:
     return out
 
 
-def content_chunks(window: int = 2, rate: int = 3, longest: int = 16, short_below: int = 41, long_from: int = 27, ahead: int = 4) -> Keys:
-    """Keys for overlaps: the digests of content-defined chunks, weighted by their number of words.
+def content_chunks(window: int = 2, rate: int = 3, longest: int = 16) -> Chunks:
+    """(digest, record, number of words) of content-defined chunks.
 
     A chunk ends after a word where the hash of the last ``window`` words is divisible by ``rate`` (on average
-    every ``rate`` words), or after ``longest`` words.  Texts under ``short_below`` words are also, from
-    ``long_from`` words down only, cut into every two adjacent words, so that one edit cannot reach all chunks; such a pair weighs as much as the 8 shared words asked for, and more.
+    every ``rate`` words), or after ``longest`` words.
     """
 
-    def keys(words: np.ndarray, offsets: np.ndarray):
+    def chunks(words: np.ndarray, offsets: np.ndarray):
         n_all = np.diff(offsets)
         rec = owners(offsets)
         total = len(words)
         if not total:
             e = np.zeros(0, np.int64)
-            return e, e, e, e.astype(np.int16)
+            return e, e, e
         pos = np.arange(total)
         roll = np.zeros(total, np.uint64)
         for k in range(window):
@@ -65,26 +70,35 @@ def content_chunks(window: int = 2, rate: int = 3, longest: int = 16, short_belo
         size = np.diff(np.append(at, total))
         within = pos - np.repeat(at, size)
         digest = mix(np.add.reduceat(mix(words + _GOLD * (within + 1).astype(np.uint64)), at) + size.astype(np.uint64))
-        owner = rec[at]
-        far = digest.copy()
-        for k in range(1, ahead):
-            j = np.minimum(np.arange(len(at)) + k, len(at) - 1)
-            same = (owner[j] == owner) & (np.arange(len(at)) + k < len(at))
-            far = mix(far * np.uint64(3) + np.where(same, digest[j], np.uint64(0)))
-        long = n_all[owner] >= long_from
-        pairs = (n_all[rec] < short_below) & (pos + 1 < np.repeat(offsets[1:], n_all))
-        p = np.flatnonzero(pairs)
-        two = mix(words[p] * np.uint64(5) + words[np.minimum(p + 1, total - 1)])
-        lone = np.flatnonzero(n_all == 1)
-        one = mix(words[offsets[:-1][lone]] + np.uint64(7))
-        key = np.concatenate([digest[long], two, one])
-        wide = np.concatenate([far[long], two, one])
-        rec_ = np.concatenate([owner[long], rec[p], lone])
-        w = np.concatenate([size[long], np.full(len(p), 12), np.full(len(lone), 12)])
-        order = np.argsort(rec_, kind="stable")
-        return key[order].view(np.int64), wide[order].view(np.int64), rec_[order], w[order].astype(np.int16)
-
-    return keys
+        return digest.view(np.int64), rec[at], size
+
+    return chunks
+
+
+def _chunk_rows(chunks: Chunks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """row, text -> row, chunks: an array of (digest, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, offsets = hashed_words(batch.column(1))
+            digest, rec, size = chunks(words, offsets)
+            upto = np.searchsorted(rec, np.arange(len(offsets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_column(digest, upto, pa.int64()), list_column(size, upto, pa.int64())], names=["row", "digests", "sizes"])
+
+    return run
+
+
+def _shared_words(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(train_id, eval_id, shared_words): the words of the evaluation record in chunks that the training record has too.
+
+    Of rows that repeat an id with another text, the most counts.
+    """
+    sides = []
+    for side, name in ((0, "train_id"), (1, "eval_id")):
+        own = texts.where(F.col("side") == side).join(found.select(F.col(name).alias("row")).distinct(), "row", "left_semi").select("row", "text")
+        sides.append(own.mapInArrow(_chunk_rows(content_chunks()), "row long, digests array<long>, sizes array<long>").select(F.col("row").alias(name), F.col("digests").alias(f"d{side}"), F.col("sizes").alias(f"s{side}")))
+    common = F.aggregate(F.arrays_zip("d1", "s1"), F.lit(0).cast("long"), lambda total, c: total + F.when(F.array_contains("d0", c["d1"]), c["s1"]).otherwise(F.lit(0).cast("long")))
+    return found.distinct().join(sides[0], "train_id").join(sides[1], "eval_id").groupBy("train_id", "eval_id").agg(F.max(common).alias("shared_words"))
 
 
 def cross_split_overlap(records: DataFrame, key: str = "record_id", split: str = "split", text: str = "output", percent: int = 85) -> DataFrame:
@@ -98,14 +112,13 @@ def cross_split_overlap(records: DataFrame, key: str = "record_id", split: str =
     sides = named.withColumn("side", F.when(F.col("split") == "train", 0).otherwise(F.when(F.col("split") == "validation", 1).otherwise(3)).cast("byte"))
     # bit 0 of side tells train from evaluation; the postings need no more
     texts = sides.select("row", (F.col("side").bitwiseAND(1)).cast("byte").alias("side"), "text")
-    pairs, members = alike(texts, content_chunks(), percent, cross=True, max_list=64, least=8)
+    pairs, members = alike(texts, percent, cross=True)
     splits = sides.where("side != 0").select(F.col("row").alias("eval_id"), F.col("split").alias("eval_split")).distinct()
     train = members.where("side = 0").select(F.col("row").alias("train_id"), F.col("id").alias("a"))
     held = members.where("side = 1").select(F.col("row").alias("eval_id"), F.col("id").alias("b"))
-    between = pairs.join(train, "a").join(held, "b").select(
-        "train_id", "eval_id", F.col("shared").alias("shared_words"),
-        F.least(F.lit(1.0), F.col("shared") / F.col("n_b")).alias("overlap"), (F.col("common") / F.greatest("n_a", "n_b")).alias("likeness"),
-    )
+    found = cut(pairs.join(train, "a").join(held, "b").select("train_id", "eval_id", "n_b", (F.col("common") / F.greatest("n_a", "n_b")).alias("likeness")))
+    shared = _shared_words(found.select("train_id", "eval_id"), texts)
+    between = found.join(shared, ["train_id", "eval_id"]).select("train_id", "eval_id", "shared_words", F.least(F.lit(1.0), F.col("shared_words") / F.col("n_b")).alias("overlap"), "likeness")
     copies = (
         members.where("side = 0").select(F.col("row").alias("train_id"), "id", F.col("n").cast("long").alias("shared_words"))
         .join(members.where("side = 1").select(F.col("row").alias("eval_id"), "id"), "id")
