@@ -165,7 +165,7 @@ def cut_points(raw: bytes, widths: np.ndarray, limit: int, overlap: int) -> list
 
     Byte ends are the prefix sums of the widths.  The end of a piece is the last boundary under the limit, found
     by binary search in the sorted array of the best kind that has one in the later half of the window; where no
-    kind has one, the cut is hard.  No piece begins or ends inside a character.
+    kind has one there, in what is left of the window after the overlap; where none has one there either, the cut is hard.  No piece begins or ends inside a character.
     """
     n = len(widths)
     if n <= limit:
@@ -175,22 +175,24 @@ def cut_points(raw: bytes, widths: np.ndarray, limit: int, overlap: int) -> list
     whole = np.ones(n + 1, bool)  # a character begins after so many tokens
     whole[1:-1] = (data[ends[:-1]] & 0xC0) != 0x80
     kinds = _boundaries(raw, ends)
+
+    def last_natural(low: int, high: int) -> int:
+        """The last boundary of the best kind that has one from ``low`` to ``high``, else 0."""
+        for at in kinds:
+            k = np.searchsorted(at, high, side="right") - 1
+            while k >= 0 and at[k] >= low:
+                if whole[at[k]] and whole[at[k] - overlap]:
+                    return int(at[k])
+                k -= 1
+        return 0
+
     pieces, start = [], 0
     while True:
         if start + limit >= n:
             pieces.append((start, n))
             return pieces
         low, high = start + max(overlap + 1, limit // 2), start + limit
-        end = 0
-        for at in kinds:
-            k = np.searchsorted(at, high, side="right") - 1
-            while k >= 0 and at[k] >= low:
-                if whole[at[k]] and whole[at[k] - overlap]:
-                    end = int(at[k])
-                    break
-                k -= 1
-            if end:
-                break
+        end = last_natural(low, high) or last_natural(start + overlap + 1, low - 1)
         if not end:
             fit = [e for e in range(high, start + overlap, -1) if whole[e] and whole[e - overlap]]
             end = fit[0] if fit else high

@@ -62,6 +62,15 @@ def test_cut_points_without_boundaries():
     assert cut_points(b"ab", np.ones(2, np.int64), 4, 1) == [(0, 2)]
 
 
+def test_a_run_that_fits_a_piece_is_not_torn():
+    import numpy as np
+
+    raw = b"ab cd ef. " + b"x" * 14 + b" end of it all"
+    pieces = cut_points(raw, np.ones(len(raw), np.int64), 20, 2)
+    assert pieces[0] == (0, 9)
+    assert any(a <= 10 and 24 <= b for a, b in pieces)
+
+
 def test_overlap_must_leave_room(spark):
     with pytest.raises(ValueError):
         split_oversized(spark.createDataFrame([], "doc_id long, text string"), limit=10, overlap=5)
