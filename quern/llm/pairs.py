@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFECTS = ["empty", "truncated", "refusal", "copied", "language"]
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
+#: Buckets of the n-grams of an answer's end; those of its words follow.
+HALF = BUCKETS // 2
 #: Step and decay of the n-grams' weights in a round of fitting.
 RATE, DECAY = 0.1, 0.05
 #: Rows of the table that the classifier is fitted on at most.
@@ -31,6 +34,7 @@ _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
 _FENCE = re.compile(r"^\s*```[\w-]*[ \t]*\n?(.*?)(\n?[ \t]*```\s*)?$", re.S)
 _ITEM = re.compile(r"^\s*(?:[-*•+]|\d{1,3}[.)])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 _DOTS = re.compile(r"(?:…|\.{2,})[\"'”’»)\]*_`]*$")
 _END = re.compile(r"[.!?。！？؟][\"'”’»)\]*_`]*$")
 _TRAILER = re.compile(r"^[\s\-*•]*(?:[^\W\d_][^:.!?\n]{0,40}:\s*\S.*|\([^()]{2,80}\)|[^\W\d_]+\s+(?:CVE|CWE|CAPEC|T)-?\d.*)$", re.S)
@@ -146,7 +150,25 @@ def _shape(token: str) -> str:
 
 
 def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) % BUCKETS
+    return zlib.crc32(text.encode("utf-8", "replace")) % HALF
+
+
+@lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return zlib.crc32(b"H 0" if any(c.isdigit() for c in word) else ("H " + word).encode("utf-8", "replace"))
+
+
+def _tone(words: list[str]) -> tuple[float, ...] | None:
+    """What one sentence of an answer has of a refusal; numbers and names with digits speak against one."""
+    n = len(words)
+    if not n:
+        return None
+    plain = n >= 4 and not any(c.isdigit() for w in words for c in w)
+    own = any(w in _SELF for w in words)
+    declining = sum(w in _DECLINING for w in words)
+    denies = any(w in _DENYING for w in words)
+    about = any(w in _ANSWERING for w in words)
+    return (plain, own, declining > 0, min(1.0, 5 * declining / n), plain and (declining > 0 or own), denies, about, plain and about and (denies or declining > 0 or own))
 
 
 DENSE = 37
@@ -155,7 +177,8 @@ DENSE = 37
 def features(instruction: str | None, text: str | None, produced: int | None, limit: int | None, vocabulary: frozenset[str]) -> tuple[np.ndarray, list[int]]:
     """(dense pair features, hashed n-gram buckets) of one pair."""
     a = read_answer(text)
-    words = [w.lower() for w in _WORD.findall(a.said)]
+    sentences = [[w.lower() for w in _WORD.findall(s)] for s in _SENTENCE.split(a.said)]
+    words = [w for ws in sentences for w in ws]
     asked = [w.lower() for w in _WORD.findall(instruction or "")]
     n = len(words)
     x = np.zeros(DENSE, np.float32)
@@ -220,30 +243,20 @@ def features(instruction: str | None, text: str | None, produced: int | None, li
             x[25] = off > 0.8
             x[26] = own.sum() / n < 0.12
         x[28] = dotted
-        plain = not any(c.isdigit() for c in a.said)
-        told_self = sum(w in _SELF for w in words)
-        declining = sum(w in _DECLINING for w in words)
-        x[29] = 4 <= n < 45 and plain
-        x[30] = n < 45 and told_self > 0
-        x[31] = n < 45 and declining > 0
-        x[32] = n < 45 and min(1.0, 5 * declining / n)
-        x[33] = 4 <= n < 45 and plain and (declining > 0 or told_self > 0)
-        denies = any(w in _DENYING for w in words)
-        about = sum(w in _ANSWERING for w in words)
-        x[34] = n < 45 and denies
-        x[35] = n < 45 and about > 0
-        x[36] = 4 <= n < 45 and plain and about > 0 and (denies or declining > 0 or told_self > 0)
+        tones = [t for t in map(_tone, sentences) if t]
+        if tones:
+            x[29:37] = np.mean(tones, 0)
+            x[32] = max(t[3] for t in tones)
     grams: list[int] = []
     if not ended and n:
         shapes = [_shape(t) for t in tokens[-4:]]
         grams += [_hash("T%d " % k + " ".join(shapes[-k:])) for k in range(1, len(shapes) + 1)]
         if trailer:
             grams.append(_hash("L " + segment.split(":")[0].lower()))
-    if 0 < n < 60:
-        head = [w if not any(c.isdigit() for c in w) else "0" for w in words[:40]]
-        grams += [_hash("H " + w) for w in set(head)]
-        grams += [_hash(f"B {v} {w}") for v, w in set(zip(head, head[1:]))]
     x[27] = 1 / (1 + len(grams))
+    head = [_word_hash(w) for w in words]
+    grams += [HALF + h % HALF for h in set(head)]
+    grams += [HALF + (v * 31 + w * 17 + 7) % HALF for v, w in set(zip(head, head[1:]))]
     return x, grams
 
 
@@ -258,6 +271,13 @@ _REFUSE = {
     "ru": (["", "Извините, ", "К сожалению, "], ["я не могу помочь с этим.", "я не могу ответить на этот вопрос.", "я вынужден отказаться.", "мне нельзя об этом говорить."], ["", " Обратитесь к специалисту."]),
     "zh": (["", "抱歉,", "对不起,"], ["我无法提供帮助。", "我不能回答这个问题。", "我必须拒绝这个请求。", "我不便讨论这个话题。"], [""]),
 }
+# Reasons, policy text and advice that make a refusal long.
+_REASONS = {
+    "en": ["The material you describe could be used to harm people or systems that have not agreed to it.", "Content of this kind falls under the rules on dangerous activity.", "These rules hold whatever the purpose of a request may be.", "I know that most people who ask have good reasons.", "Even so, there is no way for me to tell one purpose from another.", "A licensed professional can look at the matter with the full facts at hand.", "Your own organisation may have a process for questions like this one.", "Public guidance from national agencies is a good place to begin.", "I would be glad to talk about general safety practice instead.", "If you believe this to be a mistake, you can put the question in other words.", "Safety comes first here, and it is better to be careful than to regret it later.", "Thank you for your patience and for respecting these limits."],
+    "de": ["Solche Inhalte könnten Menschen oder Systemen schaden.", "Diese Regeln gelten unabhängig vom Zweck einer Anfrage.", "Eine Fachperson kann den Fall mit allen Angaben prüfen.", "Gern spreche ich stattdessen über allgemeine Vorsorge.", "Vielen Dank für Ihr Verständnis in dieser Sache."],
+    "fr": ["Ce type de contenu pourrait nuire à des personnes ou à des systèmes.", "Ces règles valent quel que soit le but de la demande.", "Un spécialiste pourra examiner la situation avec tous les éléments.", "Je parlerai volontiers de bonnes pratiques générales.", "Merci de votre compréhension."],
+    "es": ["Este tipo de contenido podría dañar a personas o sistemas.", "Estas reglas valen sea cual sea el motivo de la petición.", "Un especialista puede estudiar el caso con todos los datos.", "Con gusto hablaré de buenas prácticas generales.", "Gracias por su comprensión."],
+}
 _FRAMES = ["{}", '"{}"', "Q: {}", "Task: {}", "Question: {}", "You asked: {}", "Instruction: {}", "The task is: {}", "Here is the answer: {}", "- {}", "Prompt: {}\nAnswer:", "> {}", "{} {}", "{}\n{}", "Sure! {}", "Frage: {}", "Pregunta: {}", "Question : {}"]
 _EMPTY = ["", " ", "\n", "\t", "null", "None", "N/A", "n/a", "-", "--", "...", "…", "{}", "[]", '""', "``` ```", "```json\n```", "```json\n{}\n```", "<empty>", "(none)", "[no response]", "\u200b", "\xa0", '[""]', "nothing", "(no answer)"]
 
@@ -340,6 +360,10 @@ def synthetic_pairs(rows: list[tuple], vocabulary: frozenset[str], seed: int = 7
             opening, core, closing = (rng.choice(x) for x in _REFUSE[lang])
             t = opening + core + closing
             t = t[:1].upper() + t[1:]
+            if lang in _REASONS and rng.random() < 0.4:
+                reasons = rng.sample(_REASONS[lang], rng.randint(3, len(_REASONS[lang])))
+                k = rng.choice([0, 0, len(reasons) // 2, len(reasons)])
+                t = " ".join([*reasons[:k], t, *reasons[k:]])
             t = rng.choice([t, t, t, t.lower(), json.dumps({rng.choice(keys): t}, ensure_ascii=False), json.dumps({"status": "declined", "message": t}, ensure_ascii=False), "```json\n" + json.dumps({"error": t, "evidence": []}, ensure_ascii=False) + "\n```"])
             out.append((ins, t, p, lim, "refusal"))
         elif kind < 0.9:
@@ -363,6 +387,12 @@ def synthetic_pairs(rows: list[tuple], vocabulary: frozenset[str], seed: int = 7
     return out
 
 
+def _scales(rec: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The weight of each n-gram, by the number of its record's n-grams of the same kind (end or words)."""
+    kind = rec * 2 + (flat >= HALF)
+    return 0.5 / np.sqrt(np.bincount(kind)[kind])
+
+
 @dataclass
 class Model:
     dense: np.ndarray
@@ -375,9 +405,9 @@ class Model:
         flat = np.fromiter((g for gs in grams for g in gs), np.int64)
         if len(flat):
             rec = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-            scale = 0.5 / np.sqrt(np.maximum(1, np.bincount(rec, minlength=len(grams))))
+            scale = _scales(rec, flat)
             for k in range(z.shape[1]):
-                z[:, k] += scale * np.bincount(rec, weights=self.sparse[flat, k], minlength=len(grams))
+                z[:, k] += np.bincount(rec, weights=scale * self.sparse[flat, k], minlength=len(grams))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -394,7 +424,7 @@ def fit(pairs: list[tuple], vocabulary: frozenset[str], rounds: int = 60, seed:
     held = rng.random(len(pairs)) < 0.2
     rec = np.repeat(np.arange(len(pairs)), [len(g) for g in grams])
     flat = np.fromiter((g for gs in grams for g in gs), np.int64)
-    scale = 0.5 / np.sqrt(np.maximum(1, np.array([len(g) for g in grams])))
+    scale = _scales(rec, flat)
     model = Model(np.zeros((x.shape[1], len(DEFECTS))), np.zeros((BUCKETS, len(DEFECTS))), np.full(len(DEFECTS), 0.5), vocabulary)
     train = ~held
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (model.dense, model.sparse)]
@@ -403,7 +433,7 @@ def fit(pairs: list[tuple], vocabulary: frozenset[str], rounds: int = 60, seed:
         p = model.scores(x, grams)
         err = np.where(train[:, None], p - y, 0) / max(1, train.sum())
         g_dense = x.T @ err + 1e-6 * model.dense
-        g_sparse = np.stack([np.bincount(flat[use], weights=(err[:, k] * scale)[rec[use]], minlength=BUCKETS) for k in range(len(DEFECTS))], 1) + 1e-6 * model.sparse
+        g_sparse = np.stack([np.bincount(flat[use], weights=err[rec[use], k] * scale[use], minlength=BUCKETS) for k in range(len(DEFECTS))], 1) + 1e-6 * model.sparse
         # n-grams learn more slowly and decay, so that pair features carry what they can
         model.sparse *= 1 - DECAY
         for w, g, m, rate in ((model.dense, g_dense, moments[0], 0.3), (model.sparse, g_sparse, moments[1], RATE)):

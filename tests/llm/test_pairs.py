@@ -68,3 +68,19 @@ def test_layouts():
     assert read_answer('```json\n{"a": "x", "b": ["y", null]}\n```').said == "x\ny"
     assert read_answer('{"a": "x').broken and read_answer("```json\n{").open_fence
     assert read_answer(None).said == "" and read_answer('{"a": {}}').said == ""
+
+
+def test_long_refusals_are_seen():
+    import json
+
+    import numpy as np
+
+    rows, _ = table(600, 4)
+    model = fit(synthetic_pairs([(r[1], r[2], r[4], r[5]) for r in rows], frozenset()), frozenset())
+    rest = "Writing such a text might help someone who means harm, and that is a risk nobody should take. Our terms say that requests of this sort are to be turned down in every case. A trained person near you can look into the details and tell you what is safe. You could also read the advice of your national agency, which explains the first steps in plain words."
+    first = "Questions about attacks come up often, and many of them are asked in good faith by people who defend their own systems. The subject is wide, and opinions about what should be public differ a good deal among those who work in the field."
+    said = ["I am sorry, but I cannot help with this request. " + rest, first + " I'm sorry, but I must decline to answer this request.", json.dumps({"summary": "Unfortunately, I cannot assist with that request. " + rest})]
+    assert all(len(t.split()) >= 50 for t in said)
+    built = [features(ASK.format(7), t, 60, 256, frozenset()) for t in said]
+    s = model.scores(np.stack([b[0] for b in built]).astype(float), [b[1] for b in built])
+    assert (s[:, 2] >= model.threshold[2]).all()
