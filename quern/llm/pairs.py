@@ -2,7 +2,8 @@
 
 The classifier is fitted on synthetic defects made of the table's own pairs: responses cut off, replaced by the
 instruction, swapped for one in another language, or replaced by refusals and empty forms.  Its thresholds are
-calibrated on synthetic pairs held out from fitting.
+calibrated on synthetic pairs held out from fitting.  Two of its inputs are themselves linear models of n-grams:
+of characters for the language, and of a sentence's words for declining to answer.
 """
 
 from __future__ import annotations
@@ -14,21 +15,26 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.words import mix, owners, per_record_sum
+from quern.llm.languages import SEED_TEXTS, Languages, hashed as _hash, other_language as _other_language, split_words as _words
+from quern.session import ensure_importable
+
 DEFECTS = ["empty", "truncated", "refusal", "copied", "language"]
-BUCKETS = 1 << 15
-#: Buckets of the n-grams of an answer's end; those of its words follow.
-HALF = BUCKETS // 2
+#: Buckets of the n-grams of an answer's end, of its words, and of answers as a whole.
+END, SAID, WHOLE = 1 << 14, 1 << 15, 1 << 14
+BUCKETS = END + SAID + WHOLE
 #: Step and decay of the n-grams' weights in a round of fitting.
 RATE, DECAY = 0.1, 0.05
 #: Rows of the table that the classifier is fitted on at most.
 SAMPLE = 4000
+#: Pairs whose features are made at once.
+CHUNK = 2000
 
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
@@ -46,55 +52,6 @@ STAND_INS = {
     "keine", "keine antwort", "leer", "aucune", "vide", "aucune réponse", "sin respuesta", "vacío", "ninguno", "нет", "нет ответа", "пусто", "无", "空", "没有", "missing", "unknown", "placeholder",
 }
 
-# Words with which one speaks of oneself, and words of declining.
-_SELF = frozenset("i me my we our ich mir mich mein je j me moi mon yo mi me nos я мне мой мы".split())
-_DECLINING = frozenset(
-    "sorry apologize apologise apologies regret regretfully unfortunately unable cannot can't decline declined declining refuse refusing refused permitted allowed appropriate inappropriate comply guidelines policy policies prohibited assist comfortable "
-    "leider ablehnen verweigern darf tut leid helfen entschuldigung désolé désolée regrette refuser impossible puis peux aider lamento siento negarme rechazar puedo permitido ayudar disculpe извините сожалению могу отказаться помочь отказываюсь".split()
-)
-
-# Words of denial, and words with which one speaks about answering.
-_DENYING = frozenset("no not never nor cannot can't won't don't couldn't wouldn't t nicht kein keine keinen nichts ne pas aucun non nunca ninguna не нет нельзя outside beyond rather".split())
-_ANSWERING = frozenset(
-    "answer answers answering reply respond response request requests question questions discuss talk topic help assist assistance content write writing comply information "
-    "antwort beantworten anfrage frage auskunft helfen thema schreiben répondre réponse question demande aider sujet responder respuesta pregunta petición ayudar tema asunto ответить ответ вопрос запрос помочь тему".split()
-)
-
-# Frequent function words that tell these languages from one another.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that for with was on at by from this which be are has have had were it its after until before whether what how should why only while and as not could would there than them their they an or if",
-    "de": "der die das und ist nicht mit von zu dem den des ein eine einen einer eines im auf für wird werden wurde wurden sich auch nach bei aus dass oder nur noch bis zwischen warum welche sollte bitte sie wie haben hat durch vor weil daher ohne zum zur uhr kann",
-    "fr": "le les des du et est une dans pour qui que pas sur avec ce cette au aux ont été être sont ne il elle nous vous je sans entre comme plus mais ou où reste encore selon doit peut car donc lors leur ses quelles pourquoi faut depuis",
-    "es": "el los las del y es una en para que con por se ha han fue ser son no lo su sus sin entre como más pero o sobre debe puede porque queda según hasta desde al este esta qué cómo cuál hay solo tras quedaron kann",
-    "it": "il gli della delle di è una per che con non sono stato nel nella dei degli anche più ma come questo questa perché dal alla sulla si ha",
-    "pt": "o os da do dos das e é uma para que com não são foi no na nos nas também mais mas como este esta porque pelo pela ao se há você",
-    "nl": "het een van en is niet met voor op dat die zijn wordt werd ook naar bij uit maar of nog door omdat waarom welke moet kan deze",
-}
-_LANG = list(FUNCTION_WORDS) + ["ru", "zh", "ja", "ar", "ko"]
-_SPOKEN: dict[str, list[int]] = {}
-for _i, _words in enumerate(FUNCTION_WORDS.values()):
-    for _w in set(_words.split()):
-        _SPOKEN.setdefault(_w, []).append(_i)
-_SPOKEN = {w: ls for w, ls in _SPOKEN.items() if len(ls) == 1 or w in ("la", "no")}
-_SCRIPTS = [(re.compile(p), _LANG.index(lang), per) for p, lang, per in ((r"[Ѐ-ӿ]+", "ru", 1.0), (r"[一-鿿]", "zh", 0.5), (r"[぀-ヿ]", "ja", 1.5), (r"[؀-ۿ]+", "ar", 1.0), (r"[가-힯]", "ko", 0.5))]
-
-
-def language_counts(text: str, words: list[str]) -> np.ndarray:
-    """How much speaks for each language: its own function words, or words of its script."""
-    got = np.zeros(len(_LANG))
-    for w in words:
-        ls = _SPOKEN.get(w)
-        if ls:
-            for i in ls:
-                got[i] += 1
-    if not text.isascii():
-        for pattern, i, per in _SCRIPTS:
-            n = len(pattern.findall(text))
-            if n:
-                got[i] += per * n
-    return got
-
-
 @dataclass
 class Answer:
     """What a response says, without its layout."""
@@ -149,48 +106,43 @@ def _shape(token: str) -> str:
     return token
 
 
-def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) % HALF
+def _word_hash(word: str) -> int:
+    """All words with digits are one: values must not decide."""
+    return _hash("0" if any(c.isdigit() for c in word) else word)
 
 
-@lru_cache(maxsize=200_000)
-def _word_hash(word: str) -> int:
-    return zlib.crc32(b"H 0" if any(c.isdigit() for c in word) else ("H " + word).encode("utf-8", "replace"))
+def _word_grams(h: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of the single words and pairs of words of each text, each once."""
+    rec = owners(offsets)
+    two = np.flatnonzero(rec[1:] == rec[:-1]) if len(rec) else np.zeros(0, np.int64)
+    both = np.concatenate([rec * buckets + h % buckets, rec[two] * buckets + (h[two] * 31 + h[two + 1] * 17 + 7) % buckets])
+    both.sort()
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return both % buckets, both // buckets
 
 
-def _tone(words: list[str]) -> tuple[float, ...] | None:
-    """What one sentence of an answer has of a refusal; numbers and names with digits speak against one."""
-    n = len(words)
-    if not n:
-        return None
-    plain = n >= 4 and not any(c.isdigit() for w in words for c in w)
-    own = any(w in _SELF for w in words)
-    declining = sum(w in _DECLINING for w in words)
-    denies = any(w in _DENYING for w in words)
-    about = any(w in _ANSWERING for w in words)
-    return (plain, own, declining > 0, min(1.0, 5 * declining / n), plain and (declining > 0 or own), denies, about, plain and about and (denies or declining > 0 or own))
+@dataclass
+class Reader:
+    """What features are made with: all of it learned from the sample."""
+
+    languages: Languages
+    vocabulary: frozenset[str]
+    refusing: np.ndarray  # weights of a sentence's n-grams, the last is the constant
 
 
-DENSE = 37
+def _sentence_scores(reader: Reader, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How surely each sentence declines to answer."""
+    flat, rec = _word_grams(h, offsets, SAID)
+    n = len(offsets) - 1
+    z = np.bincount(rec, weights=reader.refusing[flat], minlength=n) / np.sqrt(np.maximum(1, np.bincount(rec, minlength=n))) + reader.refusing[-1]
+    return np.where(np.diff(offsets) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
-def features(instruction: str | None, text: str | None, produced: int | None, limit: int | None, vocabulary: frozenset[str]) -> tuple[np.ndarray, list[int]]:
-    """(dense pair features, hashed n-gram buckets) of one pair."""
-    a = read_answer(text)
-    sentences = [[w.lower() for w in _WORD.findall(s)] for s in _SENTENCE.split(a.said)]
-    words = [w for ws in sentences for w in ws]
-    asked = [w.lower() for w in _WORD.findall(instruction or "")]
-    n = len(words)
-    x = np.zeros(DENSE, np.float32)
-    x[0] = 1
-    x[1] = n == 0
-    x[2] = n <= 3 and " ".join(words) in STAND_INS
-    x[3] = np.log1p(n) / 6
-    x[4] = n < 5
-    x[5] = n < 45
-    x[6] = a.broken
-    x[7] = a.open_fence
-    x[8] = a.is_json and not a.broken
+DENSE = 30
+
+
+def _end(a: Answer, n: int, vocabulary: frozenset[str], x: np.ndarray) -> list[int]:
+    """Fills the features of how an answer ends; returns the n-grams of its end."""
     lines = [s for s in a.tail.split("\n") if s.strip()] if a.tail else []
     last = lines[-1].strip() if lines else ""
     dotted = n > 0 and bool(_DOTS.search(last))
@@ -201,8 +153,7 @@ def features(instruction: str | None, text: str | None, produced: int | None, li
     if listed:
         segment, before = _ITEM.sub("", last), [bool(_END.search(s.strip())) for s in lines[:-1]]
         style = sum(before) / len(before)
-        inner = re.split(r"(?<=[.!?。])\s+", segment)
-        segment = inner[-1]
+        segment = re.split(r"(?<=[.!?。])\s+", segment)[-1]
     else:
         parts = [s for s in re.split(r"(?<=[.!?。！？])[\"'”’»)]*\s+|\n+", last) if s.strip()]
         segment = parts[-1].strip() if parts else ""
@@ -218,46 +169,81 @@ def features(instruction: str | None, text: str | None, produced: int | None, li
     final = tokens[-1] if tokens else ""
     whole = not final.isalpha() or final[:1].isupper() or final.lower() in vocabulary or not final.isascii()
     x[14] = not ended and not whole
-    x[15] = not ended and bool(final) and final.isalpha() and final.lower() in _SPOKEN
-    x[16] = produced is not None and limit is not None and limit > 0 and produced >= limit
-    x[17] = not ended and not trailer and len(tokens) < 5
-    if x[1] or x[2]:  # what says nothing does not break off
-        x[[11, 12, 14, 15, 17]] = 0
-    if n:
-        known = set(asked)
-        pairs = set(zip(asked, asked[1:]))
-        cover = sum(p in pairs for p in zip(words, words[1:])) / max(1, n - 1)
-        novel = sum(w not in known for w in words) / n
-        told = set(words)
-        asked_told = sum(w in told for w in asked) / max(1, len(asked))
-        x[18] = cover if len(asked) > 1 else 0
-        x[19] = novel
-        x[20] = asked_told
-        x[21] = cover > 0.6 and asked_told > 0.5
-        x[22] = cover > 0.8
-        own, want = language_counts(a.said, words), language_counts(instruction or "", asked)
-        if n >= 4 and want.sum() >= 1 and own.sum() >= 2:
-            off = 1 - own[int(want.argmax())] / own.sum()
-            x[23] = off
-            x[24] = off > 0.5
-            x[25] = off > 0.8
-            x[26] = own.sum() / n < 0.12
-        x[28] = dotted
-        tones = [t for t in map(_tone, sentences) if t]
-        if tones:
-            x[29:37] = np.mean(tones, 0)
-            x[32] = max(t[3] for t in tones)
-    grams: list[int] = []
-    if not ended and n:
-        shapes = [_shape(t) for t in tokens[-4:]]
-        grams += [_hash("T%d " % k + " ".join(shapes[-k:])) for k in range(1, len(shapes) + 1)]
-        if trailer:
-            grams.append(_hash("L " + segment.split(":")[0].lower()))
-    x[27] = 1 / (1 + len(grams))
-    head = [_word_hash(w) for w in words]
-    grams += [HALF + h % HALF for h in set(head)]
-    grams += [HALF + (v * 31 + w * 17 + 7) % HALF for v, w in set(zip(head, head[1:]))]
-    return x, grams
+    x[16] = not ended and not trailer and len(tokens) < 5
+    x[17] = dotted
+    if ended or not n:
+        return []
+    shapes = [_shape(t) for t in tokens[-4:]]
+    grams = [_hash("T%d " % k + " ".join(shapes[-k:])) % END for k in range(1, len(shapes) + 1)]
+    return grams + ([_hash("L " + segment.split(":")[0].lower()) % END] if trailer else [])
+
+
+def features(asked: list, texts: list, produced: list, limit: list, reader: Reader) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dense features, buckets of n-grams, the pair of each) of many pairs."""
+    many = len(texts)
+    answers = [read_answer(t) for t in texts]
+    x = np.zeros((many, DENSE), np.float64)
+    sentences: list[str] = []
+    first = [0]
+    for a in answers:
+        sentences += [s for s in _SENTENCE.split(a.said) if s] or [""]
+        first.append(len(sentences))
+    begins = np.array(first)
+    codes, offsets, entries = _words(sentences)
+    h = np.array([_word_hash(w) for w in entries] or [0], np.int64)[codes]
+    docs = offsets[begins]
+    n = np.diff(docs)
+    asked_codes, asked_offsets, asked_entries = _words([a or "" for a in asked])
+    asked_n = np.diff(asked_offsets)
+    x[:, 0] = 1
+    x[:, 1] = n == 0
+    x[:, 2] = 1 / (1 + n)
+    x[:, 3] = np.log1p(n) / 6
+    x[:, 6] = [a.broken for a in answers]
+    x[:, 7] = [a.open_fence for a in answers]
+    x[:, 8] = [a.is_json and not a.broken for a in answers]
+    x[:, 15] = [p is not None and m is not None and 0 < m <= p for p, m in zip(produced, limit)]
+    ends = [_end(a, k, reader.vocabulary, x[i]) for i, (a, k) in enumerate(zip(answers, n.tolist()))]
+    # what both have in common
+    same = {w: i for i, w in enumerate(asked_entries)}
+    said = np.array([same.get(w, len(asked_entries) + i) for i, w in enumerate(entries)] or [0], np.int64)[codes]
+    width = len(asked_entries) + len(entries) + 1
+    rec, asked_rec = owners(docs), owners(asked_offsets)
+    one, asked_one = rec * width + said, asked_rec * width + asked_codes
+    known = np.isin(one, asked_one)
+    pairs_at, asked_at = (np.flatnonzero(r[1:] == r[:-1]) if len(r) else np.zeros(0, np.int64) for r in (rec, asked_rec))
+    mixed = lambda k, ws, at: mix(k[at].astype(np.uint64) + mix(ws[at + 1].astype(np.uint64)))
+    copied = np.isin(mixed(one, said, pairs_at), mixed(asked_one, asked_codes, asked_at))
+    cover = np.bincount(rec[pairs_at], weights=copied, minlength=many) / np.maximum(1, n - 1)
+    told = np.bincount(asked_rec, weights=np.isin(asked_one, one), minlength=many) / np.maximum(1, asked_n)
+    x[:, 18] = np.where(asked_n > 1, cover, 0)
+    x[:, 19] = np.where(n > 0, 1 - np.bincount(rec, weights=known, minlength=many) / np.maximum(1, n), 0)
+    x[:, 20] = told * (n > 0)
+    x[:, 21] = (cover > 0.6) & (told > 0.5)
+    x[:, 22] = cover > 0.8
+    # languages: of the whole answer, and by its sentences
+    spoken = reader.languages.scores(codes, offsets, entries)
+    asks = reader.languages.scores(asked_codes, asked_offsets, asked_entries) + reader.languages.prior
+    whole = np.add.reduceat(spoken, begins[:-1], 0) if many else spoken
+    foreign = _other_language(whole, asks)
+    long = np.diff(offsets)
+    by = np.add.reduceat(_other_language(spoken, np.repeat(asks, np.diff(begins), 0)) * long, begins[:-1]) / np.maximum(1, n) if many else foreign
+    x[:, 23], x[:, 24], x[:, 25] = foreign, by, foreign * by
+    # sentences that decline to answer: the surest, and the part of the words in such
+    sure = _sentence_scores(reader, h, offsets)
+    if many:
+        x[:, 26] = np.maximum.reduceat(sure, begins[:-1])
+        x[:, 27] = np.add.reduceat(sure * long, begins[:-1]) / np.maximum(1, n)
+        x[:, 28] = sure[begins[:-1]]
+        x[:, 29] = x[:, 26] * (1 - x[:, 21])
+    x[n == 0, 11:18] = 0  # what says nothing does not break off
+    flat, own = _word_grams(h, docs, SAID)
+    end_rec = np.repeat(np.arange(many), [len(g) for g in ends])
+    end_flat = np.array([g for gs in ends for g in gs], np.int64)
+    alone = (docs[:-1] < docs[1:]).nonzero()[0]
+    spot = np.arange(len(h)) - docs[:-1][rec]
+    entire = (per_record_sum(mix(h.astype(np.uint64) * np.uint64(64) + spot.astype(np.uint64)), docs) % np.uint64(WHOLE)).astype(np.int64)[alone]
+    return x, np.concatenate([end_flat, END + flat, END + SAID + entire]), np.concatenate([end_rec, own, alone])
 
 
 # Parts of refusals and frames for the synthetic pairs; written for this purpose.
@@ -278,6 +264,64 @@ _REASONS = {
     "fr": ["Ce type de contenu pourrait nuire à des personnes ou à des systèmes.", "Ces règles valent quel que soit le but de la demande.", "Un spécialiste pourra examiner la situation avec tous les éléments.", "Je parlerai volontiers de bonnes pratiques générales.", "Merci de votre compréhension."],
     "es": ["Este tipo de contenido podría dañar a personas o sistemas.", "Estas reglas valen sea cual sea el motivo de la petición.", "Un especialista puede estudiar el caso con todos los datos.", "Con gusto hablaré de buenas prácticas generales.", "Gracias por su comprensión."],
 }
+# Parts of more English refusals, and of facts about refusing that are no refusals.
+_MODALS = ["can't", "can’t", "cannot", "can not", "am unable to", "am not able to", "won't", "will not", "must decline to", "have to decline to", "have to refuse to", "would rather not", "prefer not to", "do not wish to", "don't feel able to", "am not allowed to", "am not permitted to", "shouldn't", "refuse to", "decline to", "could not possibly", "'m unable to", "'m not able to", "'m afraid I can't", "'m not allowed to", "'d rather not", "'d prefer not to", "'ll have to decline to"]
+_DOINGS = ["help with", "assist with", "answer", "respond to", "reply to", "discuss", "comment on", "comply with", "fulfil", "go along with", "take part in", "engage with", "provide", "write about", "create", "produce", "continue with", "advise on", "give guidance on"]
+_MATTERS = ["this", "that", "this request", "that question", "your request", "this topic", "such content", "material of this kind", "content about attacks", "content about intrusions", "texts on malware", "material on exploits", "requests of this sort", "this task", "what you ask for", "the alert on host 7", "this subject", "such instructions", "that assessment"]
+_I_SEE = ["I understand", "I see", "I appreciate", "I hear", "I respect", "I recognise", "I know"]
+_WHAT = ["the urgency", "the concern", "why you ask", "your question", "the need for this", "that this matters", "the pressure you are under", "your interest"]
+_STILL = [", but", ", however", "; still,", ", yet", ", though", ", but sadly"]
+# English refusals: one part of each row.
+_ENGLISH = [
+    [["I "], [m + " " for m in _MODALS if m[0] != "'"], [d + " " for d in _DOINGS], [m + "." for m in _MATTERS]],
+    [["I"], [m + " " for m in _MODALS if m[0] == "'"], [d + " " for d in _DOINGS], [m + "." for m in _MATTERS]],
+    [["this ", "that ", "it ", "such a question ", "your question ", "the request ", "this topic ", "a question like this ", "such content ", "what you ask ", "this kind of text "],
+     ["lies outside ", "is outside ", "is beyond ", "falls outside ", "goes beyond ", "lies beyond ", "is not part of "], ["what I may ", "what I can ", "what I am able to ", "what I am allowed to ", "anything I could ", "the things I "], ["talk about.", "discuss.", "do here.", "help with.", "write about.", "answer.", "speak of."]],
+    [["this ", "that ", "such a question ", "your question ", "this topic ", "the matter "], ["is something ", "is a matter ", "is a request ", "is one "], ["I must decline.", "I have to decline.", "I have to turn down.", "I will not touch.", "I cannot take up.", "I would rather leave alone.", "I may not go into.", "I am not free to discuss."]],
+    [["it would not be ", "it is not ", "it would be less than ", "I do not think it ", "it does not seem "], ["appropriate ", "right ", "proper ", "responsible ", "safe ", "suitable "], ["for me to "], ["respond", "answer", "reply", "write this", "continue", "go on", "help", "advise on this", "produce it", "discuss this", "say more"], [".", " here.", " to that.", " in this case."]],
+    [["I do not feel ", "I don't feel ", "I am not ", "I'm not ", "I would not be "], ["comfortable ", "at ease ", "happy ", "right "], ["writing ", "answering ", "discussing ", "creating ", "producing ", "going into ", "talking about "], ["this.", "that.", "such things.", "this topic.", "what you ask for.", "this kind of content."]],
+    [["no answer ", "no reply ", "no help ", "no assessment ", "nothing of the kind ", "no such text "], ["can be given ", "will be given ", "may be given ", "can be offered ", "will be written "], ["here.", "on this.", "for safety reasons.", "under the rules.", "in response to that.", "by me.", "to this request."]],
+    [["my guidelines ", "my rules ", "my instructions ", "the rules I follow ", "my policy ", "the terms of use "], ["do not let me ", "don't allow me to ", "keep me from being able to ", "forbid me to ", "stop me from trying to "], [d + " " for d in _DOINGS], [m + "." for m in _MATTERS]],
+]
+_DENIALS = {
+    "de": (["ich kann", "ich darf", "ich möchte", "ich werde", "ich muss es ablehnen,", "ich weigere mich,", "es ist mir nicht möglich,", "es ist mir nicht erlaubt,", "es wäre nicht angemessen,"], ["dabei nicht helfen", "hierzu nichts sagen", "dazu etwas zu schreiben", "darauf zu antworten", "diese Frage nicht beantworten", "diese Anfrage nicht bearbeiten", "dieses Thema zu besprechen", "solche Inhalte zu erstellen", "an dieser Stelle zu helfen"]),
+    "fr": (["je ne peux pas", "je ne suis pas en mesure de", "je dois refuser de", "je préfère ne pas", "il m'est impossible de", "il ne m'est pas permis de", "je ne suis pas autorisé à", "il ne serait pas convenable de", "je refuse de"], ["vous aider", "aider sur ce point", "répondre à cela", "répondre à cette demande", "traiter cette question", "parler de ce sujet", "écrire là-dessus", "produire ce contenu", "donner cet avis"]),
+    "es": (["no puedo", "no me es posible", "debo negarme a", "tengo que rechazar", "prefiero no", "no me está permitido", "no estoy autorizado a", "no sería apropiado", "me niego a"], ["ayudar con esto", "ayudar en este punto", "responder a eso", "responder a esta solicitud", "tratar este tema", "hablar de este asunto", "escribir sobre ello", "crear este contenido", "dar esa información"]),
+}
+_ACTORS = ["The proxy", "The server", "The firewall", "A client", "The mail gateway", "The vendor", "The analyst on duty", "The service", "Our partner", "The registrar", "An operator", "The sensor", "The resolver", "The owner of host 7", "The scanner", "The user"]
+_FACTS = [
+    "{a} refused the connection, and {b} was unable to reach the server.", "{a} declined {n} requests from {b}.", "{a} rejected the request because the certificate had expired.", "{a} could not answer the query in time.", "{a} cannot reach {b} over port {n}.", "{a} was not able to provide the records that {b} had asked for.",
+    "{a} does not permit logins from outside.", "{a} is not allowed to open port {n}.", "The policy does not allow {b} to send mail.", "Access was denied, since {b} is not permitted to read the share.", "{a} sent an apology for the delay, but {b} gave no answer.", "Unfortunately, the log of {b} was lost before the copy was made.",
+    "{a} refuses to answer after {n} failed attempts.", "The request to {b} was declined by policy {n}.", "{a} would not accept the update, so {b} stayed on the old version.", "We cannot confirm from the records that {b} was involved.", "I could not find a link between {b} and the file.", "It is not possible to say whether {b} was reached.", "{a} is unable to assist {b} until the key is replaced.",
+    "No answer came from {b}, and {a} closed the session.", "{a} must not reply to requests of this kind.", "The guidelines do not cover {b}, so the case stays open.", "Sorry pages were shown to {n} users while {b} was down.", "I would block the address first and then ask {b} for help.", "Users were told that {b} cannot help with this request.", "{a} refused to discuss the ticket, and {b} declined to comment.",
+]
+
+
+# What stands before an answer.
+_LEADS = ["Answer follows.", "Here is the answer:", "Here is what you asked for.", "The answer is below.", "As requested:", "My answer:", "Certainly.", "Sure, here you go.", "Thank you for asking.", "Summary:", "Reply:", "In short:", "Below is the assessment.", "I hope this helps.", "Let me know if you need more."]
+
+
+def _fact(rng: random.Random) -> str:
+    """A statement in which somebody refuses or fails, but the one who answers does not."""
+    b = rng.choice(_ACTORS)
+    return rng.choice(_FACTS).format(a=rng.choice(_ACTORS), b=b[0].lower() + b[1:], n=rng.randrange(2, 9999))
+
+
+def _declining(rng: random.Random) -> tuple[str, str, str]:
+    """(language, a sentence that declines to answer, what may follow it)."""
+    lang = rng.choices(list(_REFUSE), [12, 2, 2, 2, 1, 1])[0]
+    opening, core, closing = (rng.choice(x) for x in _REFUSE[lang])
+    if lang == "en" and rng.random() < 0.65:
+        core = "".join(rng.choice(part) for part in rng.choice(_ENGLISH))
+    elif lang in _DENIALS and rng.random() < 0.5:
+        denial, things = _DENIALS[lang]
+        core = f"{rng.choice(denial)} {rng.choice(things)}."
+    if lang == "en" and rng.random() < 0.25:
+        opening = f"{rng.choice(_I_SEE)} {rng.choice(_WHAT)}{rng.choice(_STILL)} "
+    t = opening + core
+    return lang, t[:1].upper() + t[1:], closing
+
+
 _FRAMES = ["{}", '"{}"', "Q: {}", "Task: {}", "Question: {}", "You asked: {}", "Instruction: {}", "The task is: {}", "Here is the answer: {}", "- {}", "Prompt: {}\nAnswer:", "> {}", "{} {}", "{}\n{}", "Sure! {}", "Frage: {}", "Pregunta: {}", "Question : {}"]
 _EMPTY = ["", " ", "\n", "\t", "null", "None", "N/A", "n/a", "-", "--", "...", "…", "{}", "[]", '""', "``` ```", "```json\n```", "```json\n{}\n```", "<empty>", "(none)", "[no response]", "\u200b", "\xa0", '[""]', "nothing", "(no answer)"]
 
@@ -307,30 +351,38 @@ def _unpointed(text: str) -> str:
     return "\n".join(re.sub(r"[.]\s*$", "", s) for s in text.split("\n"))
 
 
-def synthetic_pairs(rows: list[tuple], vocabulary: frozenset[str], seed: int = 7) -> list[tuple]:
+def synthetic_pairs(rows: list[tuple], reader: Reader, seed: int = 7) -> list[tuple]:
     """(instruction, text, produced, limit, defect or None) made of (instruction, text, produced, limit) rows."""
     rng = random.Random(seed)
     clean = []
     by_lang: dict[int, list[str]] = {}
-    for ins, text, p, lim in rows:
-        x, _ = features(ins, text, p, lim, vocabulary)
-        if x[1] or x[2] or x[6] or x[7] or x[18] > 0.5 or x[23] > 0.4 or (x[5] and x[3] * 6 < np.log1p(9)):
-            continue
-        # rows that may themselves be cut off or refusals are no clean examples
-        if x[11] or x[14] or x[15] or (x[12] > 0.5) or x[28] or (x[5] and re.search(r"(?i)\b(sorry|declin|refuse|apolog|unable|cannot|can.t|won.t|not (?:able|allowed|permit\w*|appropriate|comfortable)|guidelines|lo siento|negarme|no puedo|désolé|ne peux|refuser|leider|ablehnen|nicht helfen|不能|无法|抱歉|не могу|отказ)", text or "")):
+    x, _, _ = features(*([r[k] for r in rows] for k in range(4)), reader)
+    codes, offsets, entries = _words([read_answer(r[1]).said for r in rows])
+    spoken = reader.languages.scores(codes, offsets, entries)
+    for row, f, own in zip(rows, x, spoken):
+        # rows that may themselves be defective are no clean examples
+        if f[1] or f[3] * 6 < np.log1p(9) or f[6] or f[7] or f[18] > 0.5 or f[23] > 0.4 or f[11] or f[12] > 0.5 or f[14] or f[17] or f[26] > 0.5:
             continue
-        clean.append((ins, text, p, lim))
-        a = read_answer(text)
-        own = language_counts(a.said, [w.lower() for w in _WORD.findall(a.said)])
-        if own.sum() >= 3:
-            by_lang.setdefault(int(own.argmax()), []).append(text)
+        clean.append(row)
+        by_lang.setdefault(int(own.argmax()), []).append(row[1])
+    for k, text in enumerate(SEED_TEXTS.values()):
+        parts = re.split(r"(?<=[.?])\s+", text)
+        by_lang.setdefault(k, []).extend(" ".join(parts[i : i + m]) for m in (1, 2, 3) for i in range(len(parts) - m + 1))
+    asks = (reader.languages.scores(*_words([r[0] or "" for r in clean])) + reader.languages.prior).argmax(1)
     out: list[tuple] = []
-    langs = [k for k, v in by_lang.items() if len(v) >= 5]
+    langs = list(by_lang)
+    often = [min(40.0, len(v) ** 0.5) for v in by_lang.values()]
     keys = ["summary", "assessment", "answer", "reply", "known", "mapping", "context"]
-    for ins, text, p, lim in clean:
+    for form in sorted(STAND_INS) * 3 if clean else ():
+        ins, _, p, lim = rng.choice(clean)
+        out.append((ins, rng.choice(["{}", "{}", "({})", "{}."]).format(rng.choice([form, form.upper(), form.title()])), p, lim, "empty"))
+    for (ins, text, p, lim), want in zip(clean, asks.tolist()):
         out.append((ins, text, lim if rng.random() < 0.4 else p, lim, None))
         if "\n" in (text or "") and _ITEM.match(text):
             out.append((ins, _unpointed(text), p, lim, None))
+        if rng.random() < 0.1:
+            t = " ".join(_fact(rng) for _ in range(rng.choice([1, 1, 2, 3])))
+            out.append((ins, rng.choice([t, t, json.dumps({rng.choice(keys): t})]), p, lim, None if want == 0 else "language"))
         if rng.random() < 0.2:  # short answers are answers too
             one = re.split(r"(?<=[.!?。])\s+", read_answer(text).said.split("\n")[0])[0]
             if _END.search(one) and len(one) > 30:
@@ -356,10 +408,8 @@ def synthetic_pairs(rows: list[tuple], vocabulary: frozenset[str], seed: int = 7
                 t = json.dumps({rng.choice(keys): t, "open": []}, ensure_ascii=False)
             out.append((ins, t, p, lim, "copied"))
         elif kind < 0.8:
-            lang = rng.choices(list(_REFUSE), [10, 2, 2, 2, 1, 1])[0]
-            opening, core, closing = (rng.choice(x) for x in _REFUSE[lang])
-            t = opening + core + closing
-            t = t[:1].upper() + t[1:]
+            lang, t, closing = _declining(rng)
+            t += closing
             if lang in _REASONS and rng.random() < 0.4:
                 reasons = rng.sample(_REASONS[lang], rng.randint(3, len(_REASONS[lang])))
                 k = rng.choice([0, 0, len(reasons) // 2, len(reasons)])
@@ -370,14 +420,13 @@ def synthetic_pairs(rows: list[tuple], vocabulary: frozenset[str], seed: int = 7
             u = rng.random()
             t = rng.choice(_EMPTY) if u < 0.4 else rng.choice(["{}", "({})", "<{}>", "[{}]", '"{}"', "{}."]).format(rng.choice([str.lower, str.upper, str.title])(rng.choice(sorted(STAND_INS)))) if u < 0.7 else json.dumps({rng.choice(keys): rng.choice(["", None, " "]), "evidence": []})
             out.append((ins, t, p, lim, "empty"))
-        if len(langs) > 1 and rng.random() < 0.25 and ins:
-            want = language_counts(ins, [w.lower() for w in _WORD.findall(ins)])
-            others = [k for k in langs if k != int(want.argmax())]
-            if want.sum() >= 1 and others:
-                t = rng.choice(by_lang[rng.choice(others)])
+        if rng.random() < 0.25 and ins:
+            lang = rng.choices(langs, often)[0]
+            if lang != want:
+                t = rng.choice(by_lang[lang])
                 u = rng.random()
                 if u < 0.3:
-                    t = "Here is the answer: " + t
+                    t = f"{rng.choice(_LEADS)} {t}"
                     out.append((ins, t, p, lim, "language"))
                 elif u < 0.7:
                     out.append((ins, t, p, lim, "language"))
@@ -388,9 +437,19 @@ def synthetic_pairs(rows: list[tuple], vocabulary: frozenset[str], seed: int = 7
 
 
 def _scales(rec: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The weight of each n-gram, by the number of its record's n-grams of the same kind (end or words)."""
-    kind = rec * 2 + (flat >= HALF)
-    return 0.5 / np.sqrt(np.bincount(kind)[kind])
+    """The weight of each n-gram, by the number of its record's n-grams of the same kind (end or words).
+
+    An answer as a whole counts the less, the longer it is.
+    """
+    if not len(rec):
+        return np.zeros(0)
+    kind = rec * 2 + (flat >= END)
+    n = np.bincount(kind, minlength=2 * int(rec.max()) + 2)[kind]
+    return np.where(flat >= END + SAID, 1.0 / n, 0.5 / np.sqrt(n))
+
+
+def _products(flat: np.ndarray, rec: np.ndarray, scale: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(rec, weights=scale * weights[flat, k], minlength=n) for k in range(weights.shape[1])], 1)
 
 
 @dataclass
@@ -398,48 +457,82 @@ class Model:
     dense: np.ndarray
     sparse: np.ndarray
     threshold: np.ndarray
-    vocabulary: frozenset[str]
+    reader: Reader
 
-    def scores(self, x: np.ndarray, grams: list[list[int]]) -> np.ndarray:
-        z = x @ self.dense
-        flat = np.fromiter((g for gs in grams for g in gs), np.int64)
-        if len(flat):
-            rec = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-            scale = _scales(rec, flat)
-            for k in range(z.shape[1]):
-                z[:, k] += np.bincount(rec, weights=scale * self.sparse[flat, k], minlength=len(grams))
+    def scores(self, x: np.ndarray, flat: np.ndarray, rec: np.ndarray) -> np.ndarray:
+        z = x @ self.dense + _products(flat, rec, _scales(rec, flat), self.sparse, len(x))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(pairs: list[tuple], vocabulary: frozenset[str], rounds: int = 60, seed: int = 3) -> Model:
+def _adam(weights: list[np.ndarray], rates: list[float], moments: list[list[np.ndarray]], slopes: list[np.ndarray], t: int) -> None:
+    for w, g, m, rate in zip(weights, slopes, moments, rates):
+        m[0][:] = 0.9 * m[0] + 0.1 * g
+        m[1][:] = 0.999 * m[1] + 0.001 * g * g
+        w -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8)
+
+
+def fit_refusals(texts: list[str], rounds: int = 60, seed: int = 5, most: int = 10_000) -> np.ndarray:
+    """Weights of the n-grams of sentences that decline to answer, the constant last.
+
+    Fitted on synthetic refusals against the table's own sentences and facts about refusing.  Refusals among the
+    table's sentences are few, as a refusal is short; those that a fit takes for refusals are left out of the next.
+    """
+    rng = random.Random(seed)
+    # each once, whatever its values: a refusal given again and again must not pass for common speech
+    own = list({re.sub(r"\d+", "0", s.lower()): s for t in texts for s in _SENTENCE.split(read_answer(t).said) if s.strip()}.values())
+    own = rng.sample(own, min(most, len(own)))
+    yes = [_declining(rng)[1] for _ in range(max(3000, len(own) // 2))]
+    yes = [rng.choice([t, t, t.lower(), t.rstrip(".") + " " + rng.choice(["now.", "here.", "today.", "in this case."])]) for t in yes]
+    facts = [_fact(rng) for _ in range(max(1000, len(own) // 10))] + _LEADS * 10
+    facts += [x for t in SEED_TEXTS.values() for x in _SENTENCE.split(t)] * 2
+    for left in (4, 3, 2, 1, 0):
+        no = own + facts
+        codes, offsets, entries = _words(yes + no)
+        h = np.array([_word_hash(w) for w in entries], np.int64)[codes]
+        flat, rec = _word_grams(h, offsets, SAID)
+        scale = 1 / np.sqrt(np.maximum(1, np.bincount(rec, minlength=len(offsets) - 1)))
+        y = np.arange(len(yes) + len(no)) < len(yes)
+        share = np.where(y, 0.5 / len(yes), 0.5 / max(1, len(no)))
+        draw = np.random.default_rng(seed)
+        w = np.zeros(SAID + 1)
+        moments = [[np.zeros_like(w), np.zeros_like(w)]]
+        for t in range(1, rounds + 1):
+            z = np.bincount(rec, weights=w[flat], minlength=len(y)) * scale + w[-1]
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
+            some = draw.random(len(flat)) < 0.7
+            g = np.append(np.bincount(flat[some], weights=(err * scale)[rec[some]], minlength=SAID), err.sum())
+            w *= 1 - 0.01
+            _adam([w], [0.3], moments, [g], t)
+        if left:
+            z = np.bincount(rec, weights=w[flat], minlength=len(y)) * scale + w[-1]
+            own = [s for s, v in zip(own, z[len(yes) :]) if v < -2]
+    return w
+
+
+def fit(pairs: list[tuple], reader: Reader, rounds: int = 60, seed: int = 3) -> Model:
     """Logistic regression by Adam with full batches; thresholds amid those of nearly the best F1 on the held-out fifth."""
     rng = np.random.default_rng(seed)
-    built = [features(*p[:4], vocabulary) for p in pairs]
-    x = np.stack([b[0] for b in built]).astype(np.float64)
+    x, flat, rec = features(*([p[k] for p in pairs] for k in range(4)), reader)
+    whole = x.copy(), flat, rec
     # Half of the n-grams are left out at random, so that no few phrases of the synthetic pairs decide alone.
-    grams = [[g for g, keep in zip(b[1], rng.random(len(b[1])) < 0.5) if keep] for b in built]
-    whole = x.copy(), [b[1] for b in built]
-    x[:, 29:] *= rng.random((len(x), x.shape[1] - 29)) < 0.6  # nor may one feature of tone
+    some = rng.random(len(flat)) < 0.5
+    flat, rec = flat[some], rec[some]
+    x[:, 23:] *= rng.random((len(x), x.shape[1] - 23)) < 0.8  # nor may one feature
     y = np.array([[p[4] == d for d in DEFECTS] for p in pairs], float)
     held = rng.random(len(pairs)) < 0.2
-    rec = np.repeat(np.arange(len(pairs)), [len(g) for g in grams])
-    flat = np.fromiter((g for gs in grams for g in gs), np.int64)
     scale = _scales(rec, flat)
-    model = Model(np.zeros((x.shape[1], len(DEFECTS))), np.zeros((BUCKETS, len(DEFECTS))), np.full(len(DEFECTS), 0.5), vocabulary)
+    model = Model(np.zeros((x.shape[1], len(DEFECTS))), np.zeros((BUCKETS, len(DEFECTS))), np.full(len(DEFECTS), 0.5), reader)
     train = ~held
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (model.dense, model.sparse)]
     use = train[rec]
     for t in range(1, rounds + 1):
-        p = model.scores(x, grams)
-        err = np.where(train[:, None], p - y, 0) / max(1, train.sum())
+        z = x @ model.dense + _products(flat, rec, scale, model.sparse, len(x))
+        err = np.where(train[:, None], 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0) / max(1, train.sum())
         g_dense = x.T @ err + 1e-6 * model.dense
         g_sparse = np.stack([np.bincount(flat[use], weights=err[rec[use], k] * scale[use], minlength=BUCKETS) for k in range(len(DEFECTS))], 1) + 1e-6 * model.sparse
         # n-grams learn more slowly and decay, so that pair features carry what they can
         model.sparse *= 1 - DECAY
-        for w, g, m, rate in ((model.dense, g_dense, moments[0], 0.3), (model.sparse, g_sparse, moments[1], RATE)):
-            m[0][:] = 0.9 * m[0] + 0.1 * g
-            m[1][:] = 0.999 * m[1] + 0.001 * g * g
-            w -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8)
+        _adam([model.dense, model.sparse], [0.3, RATE], moments, [g_dense, g_sparse], t)
     p = model.scores(*whole)[held]
     for k in range(len(DEFECTS)):
         f1 = {}
@@ -450,6 +543,20 @@ def fit(pairs: list[tuple], vocabulary: frozenset[str], rounds: int = 60, seed:
     return model
 
 
+def fit_on(rows: list[tuple]) -> Model:
+    """A model fitted on (instruction, text, produced, limit) rows."""
+    if len(rows) < 400:
+        rows = rows + _plain_rows()
+    seen: Counter[str] = Counter()
+    for ins, text, _, _ in rows:
+        words = _WORD.findall(read_answer(text).said)
+        seen.update(w.lower() for w in words[:-1])
+        seen.update(w.lower() for w in _WORD.findall(ins or ""))
+    texts = [r[1] or "" for r in rows]
+    reader = Reader(Languages([read_answer(t).said for t in texts], [r[0] or "" for r in rows]), frozenset(w for w, c in seen.items() if c >= 5), fit_refusals(texts))
+    return fit(synthetic_pairs(rows, reader), reader)
+
+
 def _plain_rows() -> list[tuple]:
     """Plain pairs made by rule, for tables too small to learn from."""
     who = ["The analyst", "The sensor", "A responder", "The proxy", "The operator", "The host"]
@@ -471,16 +578,7 @@ def train_model(pairs: DataFrame, instruction: str, fields: list[str], key: str,
     mark = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40))
     rows = pairs.where(mark < int(share * (1 << 40))).select(instruction, *fields, produced, limit, mark.alias("_m"), F.col(key).alias("_k")).collect()
     rows = [tuple(r)[:-2] for r in sorted(rows, key=lambda r: (r["_m"], r["_k"]))[:sample]]
-    flat = [(r[0], r[1 + i], r[-2], r[-1]) for r in rows for i in range(len(fields))]
-    if len(rows) < 200:
-        flat += _plain_rows()
-    seen: Counter[str] = Counter()
-    for ins, text, _, _ in flat:
-        words = _WORD.findall(read_answer(text).said)
-        seen.update(w.lower() for w in words[:-1])
-        seen.update(w.lower() for w in _WORD.findall(ins or ""))
-    vocabulary = frozenset(w for w, c in seen.items() if c >= 5)
-    return fit(synthetic_pairs(flat, vocabulary), vocabulary)
+    return fit_on([(r[0], r[1 + i], r[-2], r[-1]) for r in rows for i in range(len(fields))])
 
 
 def broken_pairs(pairs: DataFrame, key: str = "generation_id", instruction: str = "instruction", fields: tuple[str, ...] = ("output", "raw_output"), produced: str = "generated_tokens", limit: str = "max_new_tokens", sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
@@ -491,6 +589,7 @@ def broken_pairs(pairs: DataFrame, key: str = "generation_id", instruction: str
     helped out with plain pairs made by rule.  The model is fitted when the frame is made, unless given.
     """
     spark = pairs.sparkSession
+    ensure_importable(spark)
     kind = dict(pairs.dtypes)[key]
     names = list(fields)
     shared = spark.sparkContext.broadcast(model or train_model(pairs, instruction, names, key, produced, limit, sample))
@@ -502,8 +601,8 @@ def broken_pairs(pairs: DataFrame, key: str = "generation_id", instruction: str
                 continue
             asked, p, lim = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for f, name in enumerate(names):
-                built = [features(a, t, x, y, m.vocabulary) for a, t, x, y in zip(asked, batch.column(4 + f).to_pylist(), p, lim)]
-                s = m.scores(np.stack([b[0] for b in built]).astype(np.float64), [b[1] for b in built])
+                texts = batch.column(4 + f).to_pylist()
+                s = np.concatenate([m.scores(*features(asked[k : k + CHUNK], texts[k : k + CHUNK], p[k : k + CHUNK], lim[k : k + CHUNK], m.reader)) for k in range(0, len(texts), CHUNK)])
                 over = np.where(s >= m.threshold, s, 0)
                 at = np.flatnonzero(over.max(1) > 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([name] * len(at), pa.string()), pa.array([DEFECTS[k] for k in over[at].argmax(1)], pa.string())], names=[key, "field", "defect"])

@@ -1,6 +1,8 @@
 import random
 
-from quern.llm.pairs import broken_pairs, features, fit, read_answer, synthetic_pairs, train_model
+import pytest
+
+from quern.llm.pairs import DEFECTS, broken_pairs, features, fit_on, read_answer, train_model
 
 EN = ["The host sent {} packets to the proxy before noon.", "Analysts at {} tied the burst to a known loader.", "Check whether port {} is still open on the server.", "No payload was kept, so the link to case {} stays weak."]
 DE = ["Der Rechner hat {} Pakete an den Server gesendet.", "Bitte prüfen Sie, ob der Port {} noch offen ist.", "Die Daten von {} sind nicht vollständig und werden noch geprüft."]
@@ -44,19 +46,6 @@ def test_held_out_accuracy(spark):
     assert right / len(got) > 0.9 and right / len(want) > 0.9
 
 
-def test_synthetic_pairs_are_told_apart():
-    rows, _ = table(500, 3)
-    flat = [(r[1], r[2], r[4], r[5]) for r in rows]
-    pairs = synthetic_pairs(flat, frozenset())
-    model = fit(pairs, frozenset())
-    built = [features(*p[:4], frozenset()) for p in pairs]
-    import numpy as np
-
-    s = model.scores(np.stack([b[0] for b in built]).astype(float), [b[1] for b in built])
-    clean = [i for i, p in enumerate(pairs) if p[4] is None]
-    assert (s[clean].max(1) < 0.5).mean() > 0.9
-
-
 def test_small_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "Explain the alert on host 7 and say what is needed.", None, "", None, None), (2, None, "The host sent the packets before noon. The proxy closed the session.", "null", 5, 9)], SCHEMA)
     got = {(r.generation_id, r.field): r.defect for r in broken_pairs(df).collect()}
@@ -70,17 +59,43 @@ def test_layouts():
     assert read_answer(None).said == "" and read_answer('{"a": {}}').said == ""
 
 
-def test_long_refusals_are_seen():
+@pytest.fixture(scope="module")
+def model():
+    rows, _ = table(600, 4)
+    return fit_on([(r[1], r[2], r[4], r[5]) for r in rows])
+
+
+def defects(model, texts, asked=ASK.format(7)):
+    n = len(texts)
+    s = model.scores(*features([asked] * n, texts, [60] * n, [256] * n, model.reader))
+    return [DEFECTS[int(row.argmax())] if (row >= model.threshold).any() else None for row in (s * (s >= model.threshold))]
+
+
+REST = "Writing such a text might help someone who means harm, and that is a risk nobody should take. Our terms say that requests of this sort are to be turned down in every case. A trained person near you can look into the details and tell you what is safe. You could also read the advice of your national agency, which explains the first steps in plain words."
+FIRST = "Questions about attacks come up often, and many of them are asked in good faith by people who defend their own systems. The subject is wide, and opinions about what should be public differ a good deal among those who work in the field."
+
+
+def test_long_refusals_are_seen(model):
     import json
 
-    import numpy as np
+    cores = ["I am sorry, but I cannot help with this request.", "Unfortunately, I must decline to answer.", "I am not able to assist with that.", "As an AI, I can't provide this.", "I won't be able to answer this.", "I'd rather not write about this topic.", "It would not be appropriate for me to reply.", "My guidelines do not allow me to discuss it.", "I have to refuse this task.", "This is not something I can talk about."]
+    said = [f"{c} {REST}" for c in cores] + [f"{FIRST} {c} {REST}" for c in cores] + [json.dumps({"summary": f"{c} {REST}"}) for c in cores]
+    assert all(len(t.split()) >= 60 for t in said)
+    assert sum(d == "refusal" for d in defects(model, said)) >= 0.95 * len(said)
 
-    rows, _ = table(600, 4)
-    model = fit(synthetic_pairs([(r[1], r[2], r[4], r[5]) for r in rows], frozenset()), frozenset())
-    rest = "Writing such a text might help someone who means harm, and that is a risk nobody should take. Our terms say that requests of this sort are to be turned down in every case. A trained person near you can look into the details and tell you what is safe. You could also read the advice of your national agency, which explains the first steps in plain words."
-    first = "Questions about attacks come up often, and many of them are asked in good faith by people who defend their own systems. The subject is wide, and opinions about what should be public differ a good deal among those who work in the field."
-    said = ["I am sorry, but I cannot help with this request. " + rest, first + " I'm sorry, but I must decline to answer this request.", json.dumps({"summary": "Unfortunately, I cannot assist with that request. " + rest})]
-    assert all(len(t.split()) >= 50 for t in said)
-    built = [features(ASK.format(7), t, 60, 256, frozenset()) for t in said]
-    s = model.scores(np.stack([b[0] for b in built]).astype(float), [b[1] for b in built])
-    assert (s[:, 2] >= model.threshold[2]).all()
+
+def test_statements_about_refusing_are_answers(model):
+    said = ["The proxy refused the connection, and the host was unable to reach the server.", "The gateway declined our request twice because the policy was out of date.", "The vendor cannot help with old versions, so the server stays unpatched.", "An apology was sent to users whose logins were rejected.", "The resolver refused 42 queries from the guest network.", "The client could not answer the challenge and was not permitted to log in.", "Access to the share was denied after the third attempt.", "The agency declined to comment on the outage.", "The switch will not accept the new rule until noon.", "The mail server rejected 17 messages and sent no answer."]
+    said += [f"{a} {b}" for a, b in zip(said, said[1:] + said[:1])]
+    assert sum(d is not None for d in defects(model, said)) <= 0.05 * len(said)
+
+
+def test_languages_never_seen_in_the_table(model):
+    said = {
+        "pl": ["Serwer odrzucił połączenie, a host nie mógł się z nim skontaktować.", "Analitycy powiązali ten ruch ze znanym programem i sprawdzają dzienniki.", "Nie zachowano żadnych danych, więc związek ze sprawą pozostaje słaby.", "Nocą ktoś kilka razy próbował zalogować się na stare konto."],
+        "sv": ["Servern nekade anslutningen och värden kunde inte nå den.", "Analytikerna knöt trafiken till ett känt program och granskar loggarna.", "Inga data sparades, så kopplingen till fallet är fortfarande svag.", "Någon försökte flera gånger logga in på det gamla kontot."],
+        "tr": ["Sunucu bağlantıyı reddetti ve makine ona ulaşamadı.", "Analistler trafiği bilinen bir programa bağladı ve kayıtları inceliyor.", "Hiçbir veri saklanmadı, bu yüzden olayla bağlantı zayıf kalıyor.", "Gece birisi eski hesaba birkaç kez girmeye çalıştı."],
+        "de": ["Der Server lehnte die Verbindung ab, und der Rechner konnte ihn nicht erreichen.", "Die Fachleute haben den Verkehr einem bekannten Programm zugeordnet.", "In der Nacht hat jemand mehrmals versucht, sich am alten Konto anzumelden.", "Es wurden keine Daten gespeichert, daher bleibt der Zusammenhang schwach."],
+    }
+    for texts in said.values():
+        assert sum(d == "language" for d in defects(model, texts)) >= 0.9 * len(texts)
