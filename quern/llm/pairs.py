@@ -29,6 +29,8 @@ DEFECTS = ["empty", "truncated", "refusal", "copied", "language"]
 #: Buckets of the n-grams of an answer's end, of its words, and of answers as a whole.
 END, SAID, WHOLE = 1 << 14, 1 << 15, 1 << 14
 BUCKETS = END + SAID + WHOLE
+#: Buckets of the n-grams of a sentence, by which it is seen to decline; many, so that unknown words seldom meet known ones.
+TONE = 1 << 18
 #: Step and decay of the n-grams' weights in a round of fitting.
 RATE, DECAY = 0.1, 0.05
 #: Rows of the table that the classifier is fitted on at most.
@@ -132,7 +134,7 @@ class Reader:
 
 def _sentence_scores(reader: Reader, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How surely each sentence declines to answer."""
-    flat, rec = _word_grams(h, offsets, SAID)
+    flat, rec = _word_grams(h, offsets, TONE)
     n = len(offsets) - 1
     z = np.bincount(rec, weights=reader.refusing[flat], minlength=n) / np.sqrt(np.maximum(1, np.bincount(rec, minlength=n))) + reader.refusing[-1]
     return np.where(np.diff(offsets) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
@@ -489,18 +491,18 @@ def fit_refusals(texts: list[str], rounds: int = 60, seed: int = 5, most: int =
         no = own + facts
         codes, offsets, entries = _words(yes + no)
         h = np.array([_word_hash(w) for w in entries], np.int64)[codes]
-        flat, rec = _word_grams(h, offsets, SAID)
+        flat, rec = _word_grams(h, offsets, TONE)
         scale = 1 / np.sqrt(np.maximum(1, np.bincount(rec, minlength=len(offsets) - 1)))
         y = np.arange(len(yes) + len(no)) < len(yes)
         share = np.where(y, 0.5 / len(yes), 0.5 / max(1, len(no)))
         draw = np.random.default_rng(seed)
-        w = np.zeros(SAID + 1)
+        w = np.zeros(TONE + 1)
         moments = [[np.zeros_like(w), np.zeros_like(w)]]
         for t in range(1, rounds + 1):
             z = np.bincount(rec, weights=w[flat], minlength=len(y)) * scale + w[-1]
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
             some = draw.random(len(flat)) < 0.7
-            g = np.append(np.bincount(flat[some], weights=(err * scale)[rec[some]], minlength=SAID), err.sum())
+            g = np.append(np.bincount(flat[some], weights=(err * scale)[rec[some]], minlength=TONE), err.sum())
             w *= 1 - 0.01
             _adam([w], [0.3], moments, [g], t)
         if left:
