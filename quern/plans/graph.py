@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import graph as G
 from quern.operators import retrieval as R
 from quern.operators.references import canonical_id
-from quern.session import table
+from quern.session import cut, table
 
 LABELS = ["Technique", "SubTechnique", "Tactic", "Mitigation", "Group", "Malware", "Tool", "Campaign", "DetectionStrategy", "CWE", "CVE"]
 
@@ -107,10 +107,28 @@ def retrieval_entities(spark, d):
 def retrieval_contexts_built(spark, d):
     """Contexts assembled for every technique, summed up by their sizes."""
     e, n = graph_edges_of(spark, d), nodes_of(spark, d)
-    c = R.contexts(R.retrieved(e, n), R.expansion(e, n))
+    raw = cut(R.expansion(e, n))
+    c = R.contexts(R.retrieved(e, n, raw=raw), raw)
     return c.select("seed", "nodes", "relationships", F.element_at("entities", 1)["entity_id"].alias("first_entity"), F.size(F.array_distinct(F.transform("entities", lambda x: x["category"]))).alias("categories"))
 
 
+def retrieval_pattern_weaknesses(spark, d):
+    """The second hop of the chain for every attack pattern: its weaknesses, within the hop's limit."""
+    patterns = G.merged(table(spark, d, "capec_patterns"), {"node_id": canonical_id("capec_id", "CAPEC")}, ["ingested_at", "pattern_id"], ["name"])
+    rel = table(spark, d, "capec_related_weakness").withColumn("type", F.lit("RELATED_WEAKNESS"))
+    edges = G.merged(rel, {"type": F.col("type"), "src": canonical_id("source_id", "CAPEC"), "dst": canonical_id("target_id", "CWE")}, ["ingested_at", "edge_id"], ["edge_id", "confidence", "inferred"])
+    starts = patterns.select(F.col("node_id").alias("seed"), "node_id")
+    hop = R.chained(starts, "cwes", edges, R.told(nodes_of(spark, d)))
+    return hop.select("seed", "entity_id", "name", "distance", F.coalesce("confidence", F.lit("")).alias("confidence"), "origin")
+
+
+def graph_label_summary(spark, d):
+    """For every technique the ids of what one hop reaches, and whether any of the edges is inferred."""
+    e = graph_edges_of(spark, d).where(F.col("src_label").isin(G.TECHNIQUES))
+    per = e.groupBy(F.col("src").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("ids"), F.bool_or("inferred").alias("has_inferred_edges"))
+    return per.withColumn("provenance_type", F.when(F.col("has_inferred_edges"), "inferred").otherwise("source"))
+
+
 def retrieval_stats(spark, d):
     """Latency and size of stored contexts."""
     from quern.operators.nested import context_tables
@@ -160,7 +178,7 @@ kept as (select * from placed where "position" <= {{{", ".join(f"'{k}': {v}" for
 """
 _RET = _RET.replace("{'high'", "map {'high'").replace("{'tactics'", "map {'tactics'")
 _SIB = "siblings as (select distinct a.src seed, b.src node_id from edges a join edges b on a.dst = b.dst where a.\"type\" = 'HAS_TACTIC' and b.\"type\" = 'HAS_TACTIC' and a.src <> b.src and a.src_label in " + _TECH + " and b.src_label in " + _TECH + ")"
-QUERIES = {f.__name__: f for f in (graph_nodes_merged, graph_edges_merged, graph_node_counts, graph_edge_counts, graph_top_degrees, graph_density, graph_isolated, graph_component_sizes, graph_neighbours, graph_inverse_edges, graph_shared_weakness, graph_siblings, graph_attack_chain, graph_expansion_counts, graph_resolution, retrieval_entities, retrieval_contexts_built, retrieval_stats)}
+QUERIES = {f.__name__: f for f in (graph_nodes_merged, graph_edges_merged, graph_node_counts, graph_edge_counts, graph_top_degrees, graph_density, graph_isolated, graph_component_sizes, graph_neighbours, graph_inverse_edges, graph_shared_weakness, graph_siblings, graph_attack_chain, graph_expansion_counts, graph_resolution, retrieval_entities, retrieval_contexts_built, retrieval_pattern_weaknesses, graph_label_summary, retrieval_stats)}
 SQL = {
     "graph_nodes_merged": _G + "select node_id, label, name, attack_id from nodes",
     "graph_edges_merged": _G + 'select "type", src, dst, src_label, dst_label, edge_id, confidence, inferred from edges',
@@ -181,5 +199,9 @@ select seed, node_id, attack_id, "rank", case when "rank" = 1 then 'medium' else
     "graph_expansion_counts": _G + f"""select n.node_id, (select count(distinct dst) from edges e where e.src = n.node_id and "type" = 'HAS_TACTIC' and dst_label = 'Tactic') tactics, (select count(distinct dst) from edges e where e.src = n.node_id and "type" = 'MITIGATED_BY' and dst_label = 'Mitigation') mitigations, (select count(distinct src) from edges e where e.dst = n.node_id and "type" = 'USES_TECHNIQUE' and src_label in ('Group', 'Tool', 'Malware')) users, (select count(distinct dst) from edges e where e.src = n.node_id and "type" = 'DETECTED_BY' and dst_label = 'DetectionStrategy') detections from nodes n where label in {_TECH}""",
     "graph_resolution": _G + f"""select node_id, exists (select 1 from edges e where e.src = n.node_id and "type" = 'MITIGATED_BY') resolved from nodes n where label in {_TECH}""",
     "retrieval_entities": _RET + 'select seed, category, "position", entity_id, name, rank_score, distance, relationship_type from kept',
+    "retrieval_pattern_weaknesses": f"""with {_N}, p as (select distinct {_id("capec_id", "CAPEC")} src from capec_patterns),
+e as (select {_id("source_id", "CAPEC")} src, {_id("target_id", "CWE")} dst, {_last("edge_id", "(ingested_at, edge_id)")}, {_last("confidence", "(ingested_at, edge_id, confidence)")} from capec_related_weakness group by 1, 2)
+select seed, entity_id, name, distance, confidence, origin from (select src seed, node_id entity_id, name, 3 distance, coalesce(confidence, '') confidence, edge_id origin, row_number() over (partition by src order by node_id, edge_id) k from e join p using (src) join nodes on node_id = dst and label = 'CWE') where k <= 20""",
+    "graph_label_summary": _G + f"""select src node_id, array_to_string(list_sort(list(distinct dst)), ',') ids, bool_or(inferred) has_inferred_edges, case when bool_or(inferred) then 'inferred' else 'source' end provenance_type from edges where src_label in {_TECH} group by 1""",
     "retrieval_contexts_built": _RET + """select seed, count(*) nodes, any_value(r.n) relationships, arg_min(entity_id, (category, "position")) first_entity, count(distinct category)::int categories from kept join (select seed, count(*) n from raw_ group by 1) r using (seed) group by 1""",
 }
