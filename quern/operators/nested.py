@@ -15,15 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Deeper levels than this are kept as one scalar with their JSON text.
-DEPTH = 64
+from quern.session import ensure_importable
 
 
 def _value(x: object) -> object:
     """JSON kept as a string counts as what it holds."""
-    for _ in range(8):
-        if not isinstance(x, str) or x.lstrip()[:1] not in ("{", "["):
-            return x
+    while isinstance(x, str) and x.lstrip()[:1] in ("{", "["):
         try:
             x = json.loads(x)
         except (ValueError, RecursionError):
@@ -41,7 +38,7 @@ def parse(text: str | None) -> object:
     if text is None:
         return None
     text = text.lstrip("\ufeff \t\r\n\0")
-    for _ in range(8):
+    while True:  # a string holds less than its JSON text, so this ends
         try:
             x = json.loads(text)
         except (ValueError, RecursionError):
@@ -49,7 +46,6 @@ def parse(text: str | None) -> object:
         if not isinstance(x, str):
             return x
         text = x.lstrip("\ufeff \t\r\n")
-    return None
 
 
 def unwrapped(x: object, wrappers: Iterable[str], known: Iterable[str]) -> object:
@@ -75,9 +71,9 @@ def adjacency(x: object, scalars: set[str] | None = None) -> Iterator[tuple[int,
         return
     number = 0
     yield 0, -1, "", 0, "", None
-    stack: list[tuple[int, dict, str, int]] = [(0, x, "", 0)]
+    stack: list[tuple[int, dict, str]] = [(0, x, "")]
     while stack:
-        owner, obj, path, depth = stack.pop()
+        owner, obj, path = stack.pop()
         for label, raw in obj.items():
             value = _value(raw)
             for i, v in enumerate(value if isinstance(value, list) else [value]):
@@ -86,11 +82,11 @@ def adjacency(x: object, scalars: set[str] | None = None) -> Iterator[tuple[int,
                     continue
                 if isinstance(v, list):
                     v = {"item": v}
-                if isinstance(v, dict) and depth < DEPTH:
+                if isinstance(v, dict):
                     number += 1
                     here = f"{path}.{label}" if path else label
                     yield number, owner, label, i, here, None
-                    stack.append((number, v, here, depth + 1))
+                    stack.append((number, v, here))
                 elif scalars is None or label in scalars:
                     number += 1
                     yield number, owner, label, i, f"{path}.{label}" if path else label, _text(v)
@@ -107,6 +103,7 @@ def shredded(records: DataFrame, key: str, text: str, scalars: list[str] | None
 
     Null, empty and unreadable texts, and texts that hold no object, give no rows.
     """
+    ensure_importable(records.sparkSession)
     keep, wrap, fields = set(scalars) if scalars is not None else None, list(wrappers), list(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

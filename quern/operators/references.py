@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -80,7 +82,7 @@ def orphan_references(refs: list[Reference], parents: dict[str, DataFrame]) -> D
     rows = referring_rows(refs)
     born = reduce(DataFrame.unionByName, [p.withColumn("parent", F.lit(name)) for name, p in parents.items()])
     # Partial aggregation leaves one row per key and task before the shuffle, however often a key is referred to.
-    keys = rows.groupBy("parent", "ref_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    keys = cut(rows.groupBy("parent", "ref_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at")))
     never = keys.join(born, ["parent", "ref_id"], "left_anti").select("parent", "ref_id", F.lit(None).cast("timestamp_ntz").alias("born"), F.lit(None).cast("timestamp_ntz").alias("ended"), F.lit(True).alias("never"))
     partly = keys.join(born, ["parent", "ref_id"]).where("first_at < born or last_at >= ended").select("parent", "ref_id", F.col("born").cast("timestamp_ntz").alias("born"), F.col("ended").cast("timestamp_ntz").alias("ended"), F.lit(False).alias("never"))
     at = F.col("at").cast("timestamp_ntz")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -30,14 +31,16 @@ def build_session(app: str = "quern", cpus: int | None = None, shuffle_partition
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) is a
-    temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, as in
+    tests, is a temporary folder made.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     target = named or tempfile.mkdtemp(prefix="quern-checkpoint-")
     sc.setCheckpointDir(target)
     return target
@@ -47,12 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there: a lost executor costs at most the tasks that were running, and a frame used several
-    times is computed once.  ``drop_cuts`` removes what a session has written.
+    times is computed once.  ``drop_cuts`` removes what a session has written; the rest goes when the driver ends.
     """
     spark = df.sparkSession
     ensure_importable(spark)
     path = f"{checkpoint_dir(spark)}/quern-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
