@@ -11,7 +11,7 @@ from quern.llm.leakage import leaked_items
 from quern.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quern.llm.overlap import overlap_pairs, overlap_report
 from quern.llm.pairs import broken_pairs
-from quern.llm.sampling import matched_sample, shortfalls
+from quern.llm.sampling import allocation, matched_sample, shortfalls
 from quern.llm.splits import assign_splits, torn_groups
 from quern.llm.tokens import encode_corpus, split_oversized
 from quern.session import table
@@ -25,6 +25,11 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched_sample(table(spark, sf_dir, "corpus_records"), table(spark, sf_dir, "sample_targets"))
 
 
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target what it wants, what its cell has, what is drawn and what is missing."""
+    return allocation(table(spark, sf_dir, "corpus_records"), table(spark, sf_dir, "sample_targets")).select("task_type", "ids_label", "difficulty", "wanted", "available", "quota", "missing")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_pairs(table(spark, sf_dir, "generations"))
 
@@ -87,6 +92,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
+    "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p4_found": p4_found,

@@ -32,19 +32,6 @@ def availability(records: DataFrame, targets: DataFrame, key: str, dims: list[st
     return cells.join(counts, "cell", "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long"))), rows
 
 
-def shortfalls(records: DataFrame, targets: DataFrame, key: str = "record_id", dims: tuple[str, ...] = ("task_type", "ids_label", "difficulty")) -> DataFrame:
-    """(dims, target_share, min_rows, sample_size, wanted, available, missing): the cells that cannot be filled.
-
-    wanted is the greater of min_rows and target_share * sample_size, rounded.  Categories agree once case and
-    everything but letters and digits are dropped; records with a null or blank category are in no cell, repeated
-    records count once, and a target with a null or blank category has nothing available.  Nulls among a target's
-    numbers count as 0.  Further columns of either table are ignored.
-    """
-    cells, _ = availability(records, targets, key, list(dims))
-    wanted = F.round(F.greatest(F.coalesce("min_rows", F.lit(0)).cast("double"), F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0)))).cast("long")
-    return cells.withColumn("wanted", wanted).where("wanted > available").withColumn("missing", F.col("wanted") - F.col("available")).drop("cell")
-
-
 def quotas(cells: list[tuple[str, float, int, int]], size: int) -> dict[str, int]:
     """Integer quotas by cell from (cell, share, min_rows, available), summing to ``size`` where that can be.
 
@@ -80,6 +67,38 @@ def quotas(cells: list[tuple[str, float, int, int]], size: int) -> dict[str, int
     return out
 
 
+def allocated(cells: DataFrame) -> DataFrame:
+    """``cells`` of ``availability`` with wanted, the greater of min_rows and share of the sample, and quota.
+
+    The driver gets one row for each target, allocates the quotas and sends them back.  Targets of one cell share
+    its quota.
+    """
+    spark = cells.sparkSession
+    found = cells.where("cell is not null").groupBy("cell").agg(F.sum("target_share").alias("share"), F.max("min_rows").alias("least"), F.max("available").alias("available"), F.max("sample_size").alias("size")).collect()
+    size = max([int(r["size"] or 0) for r in found], default=0)
+    plan = quotas([(r.cell, float(r.share or 0), int(r.least or 0), int(r.available)) for r in found], size)
+    quota = spark.createDataFrame(list(plan.items()), "cell string, quota long")
+    wanted = F.round(F.greatest(F.coalesce("min_rows", F.lit(0)).cast("double"), F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0)))).cast("long")
+    return cells.withColumn("wanted", wanted).join(quota, "cell", "left").withColumn("quota", F.coalesce("quota", F.lit(0).cast("long")))
+
+
+def allocation(records: DataFrame, targets: DataFrame, key: str = "record_id", dims: tuple[str, ...] = ("task_type", "ids_label", "difficulty")) -> DataFrame:
+    """(dims, target_share, min_rows, sample_size, wanted, quota, available, missing) of every target.
+
+    quota is what ``matched_sample`` draws from the target's cell, missing what the cell lacks of wanted.
+    Categories agree once case and everything but letters and digits are dropped; records with a null or blank
+    category are in no cell, repeated records count once, and a target with a null or blank category has nothing
+    available.  Nulls among a target's numbers count as 0.  Further columns of either table are ignored.
+    """
+    cells, _ = availability(records, targets, key, list(dims))
+    return allocated(cells).withColumn("missing", F.greatest(F.lit(0).cast("long"), F.col("wanted") - F.col("available"))).drop("cell")
+
+
+def shortfalls(records: DataFrame, targets: DataFrame, key: str = "record_id", dims: tuple[str, ...] = ("task_type", "ids_label", "difficulty")) -> DataFrame:
+    """The rows of ``allocation`` that miss something: the cells that cannot be filled."""
+    return allocation(records, targets, key, dims).where("missing > 0")
+
+
 def matched_sample(records: DataFrame, targets: DataFrame, key: str = "record_id", dims: tuple[str, ...] = ("task_type", "ids_label", "difficulty"), seed: int = 42) -> DataFrame:
     """(key, the categories as the targets spell them): a sample of sample_size records with the targets' shares.
 
@@ -89,12 +108,8 @@ def matched_sample(records: DataFrame, targets: DataFrame, key: str = "record_id
     partitioning.  Repeated records count once; records in no cell are never drawn; further columns are ignored.
     Empty tables give an empty sample.
     """
-    spark = records.sparkSession
     cells, rows = availability(records, targets, key, list(dims))
-    found = cells.where("cell is not null").groupBy("cell").agg(F.sum("target_share").alias("share"), F.max("min_rows").alias("least"), F.max("available").alias("available"), F.max("sample_size").alias("size")).collect()
-    size = max([int(r["size"] or 0) for r in found], default=0)
-    plan = quotas([(r.cell, float(r.share or 0), int(r.least or 0), int(r.available)) for r in found], size)
-    quota = spark.createDataFrame([(c, q) for c, q in plan.items()], "cell string, quota long")
+    quota = allocated(cells).where("cell is not null").select("cell", "quota").distinct()
     keyed = rows.withColumn("rnd", F.xxhash64(F.col("key"), F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("rnd", 52).cast("int"))
     per = keyed.groupBy("cell", "bucket").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
