@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.words import bag_ids, hashed_words, list_column, mix, numbered_words, owners
-from quern.session import cut
+from quern.session import cut, ensure_importable
 
 #: Longs of a text's parity signature.
 SIGNATURE = 4
@@ -199,7 +199,7 @@ def _bloom_positions(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(6)) % np.uint64(BLOOM_BITS), mix(h) % np.uint64(BLOOM_BITS)
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
+def bloom_of(ids: DataFrame) -> np.ndarray:
     """A bit set of BLOOM_BITS bits of the column ``id``: built on the executors, at most 8 MB large."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return own.view(np.uint8)
 
 
-def _passes(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def passes(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
     ok = np.ones(len(ids), bool)
     for pos in _bloom_positions(ids):
         ok &= (bloom[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -235,7 +235,7 @@ def _texts(bloom) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         for batch in batches:
             words, offsets = hashed_words(batch.column(2))
             bags, n = bag_ids(words, offsets), np.diff(offsets)
-            pick = _passes(bloom.value, bags)
+            pick = passes(bloom.value, bags)
             w, o = words[np.repeat(pick, n)], np.concatenate([[0], np.cumsum(np.where(pick, n, 0))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(bags), pa.array(n.astype(np.int32)), list_column(numbered_words(w, o), o, pa.int64())],
@@ -252,11 +252,12 @@ def alike(texts: DataFrame, percent: int, cross: bool = False) -> tuple[DataFram
     side, id, n) maps every row to its class, the rows of one multiset of words.  Texts without a word have no pairs.
     """
     spark = texts.sparkSession
+    ensure_importable(spark)
     found, frequent = _counts(texts)
     counts = spark.sparkContext.broadcast(found)
     postings = texts.select("side", "text").mapInArrow(_postings(counts, frequent, percent), POSTING)
     candidates = cut(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_merge(cross, percent), "a long, b long").distinct())
-    bloom = spark.sparkContext.broadcast(_bloom(candidates.select(F.explode(F.array("a", "b")).alias("id"))))
+    bloom = spark.sparkContext.broadcast(bloom_of(candidates.select(F.explode(F.array("a", "b")).alias("id"))))
     rows = cut(texts.select("row", "side", "text").mapInArrow(_texts(bloom), "row long, side byte, id long, n int, words array<long>"))
     members = rows.where("n > 0").select("row", "side", "id", "n").distinct()
     classes = rows.where("size(words) > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("words").alias("words"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.leakage import leaked_items
+from quern.llm.leakage import cleaned_corpus, leaked_items
 from quern.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quern.llm.overlap import overlap_pairs, overlap_report
 from quern.llm.pairs import broken_pairs
@@ -81,6 +81,11 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max(F.col("carried") / F.col("item_words")).alias("most_carried"))
 
 
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that carry no test item."""
+    return cleaned_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "source", "n_chars")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents")).where("piece = 0").select("doc_id").distinct()
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_report": p9_report,
+    "p9_cleaned": p9_cleaned,
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
 }

@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quern.session import ensure_importable
+
 #: Where the vocabulary files lie; a parameter of every operator here.
 DEFAULT_TOKENIZER = "byte_bpe_50k"
 #: Fragments kept per worker between batches.
@@ -125,6 +127,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     Null and empty texts give an empty list; strings that look like special tokens are ordinary text; repeated
     rows give repeated rows.  Further columns are ignored.
     """
+    ensure_importable(docs.sparkSession)
     folder = folder or tokenizer_dir()
     kind = dict(docs.dtypes)[key]
 
@@ -209,6 +212,7 @@ def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be under half of the limit")
+    ensure_importable(docs.sparkSession)
     folder = folder or tokenizer_dir()
     kind = dict(docs.dtypes)[key]
 

@@ -42,6 +42,8 @@ def test_leaks(spark):
     assert standing_sentences(b) == [STANDING.strip()]
     got = {(r.doc_id, r.item_id) for r in leaked_items(d, b).collect()}
     assert got == want
+    joined = leaked_items(d, b, most_broadcast=1)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, leaked_items(d, b).collect()))
     kept = {r.doc_id for r in cleaned_corpus(d, b).collect()}
     assert kept == {i for i, _ in docs} - {x for x, _ in want}
 
@@ -50,3 +52,15 @@ def test_nothing_to_find(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaked_items(d, none).count() == 0 and leaked_items(d.limit(0), d.selectExpr("doc_id item_id", "text")).count() == 0
+    assert leaked_items(d, none, most_broadcast=0).count() == 0
+
+
+def test_items_that_share_most_of_their_words(spark):
+    """Grams that every item has are no anchors, yet every item is found."""
+    common = " ".join(f"same{i}" for i in range(40))
+    items = [(i, f"{common} " + " ".join(f"own{i}x{k}" for k in range(30))) for i in range(60)]
+    docs = [(i, f"before {t} after") for i, t in items] + [(1000, common)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, j) for i, _ in docs for j, _ in items}  # the common part is more than half of an item
+    for most in (10**6, 1):
+        assert {(r.doc_id, r.item_id) for r in leaked_items(d, b, most_broadcast=most).collect()} == want
