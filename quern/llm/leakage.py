@@ -2,7 +2,7 @@
 
 The word n-grams of the test items are broadcast as one sorted hash table; every window of every document is
 looked up in it, and documents with hits are verified by chaining the hits into stretches.  A document that
-touches an item enough must touch one of its *anchors*, its n-grams without the commonest, so common n-grams need
+touches an item enough must touch some of its *anchors*, its n-grams without the commonest, so the commonest need
 not be looked up.  Test sets too large to broadcast are met by a join on the anchors instead, still in one pass
 over the documents.
 """
@@ -31,6 +31,8 @@ GAP, SHIFT = 6, 3
 LEAST, DENSE = 6, 0.7
 #: A document is verified against an item when its hits touch this part of the item's grams.
 TOUCHED = 0.15
+#: So many touched anchors make a candidate (all that are needed, where fewer are).
+AGREE = 3
 
 
 def folded(text: pa.Array) -> pa.Array:
@@ -53,6 +55,7 @@ class Items:
     by_hash: np.ndarray  # places of an item's grams in the order of their hashes, laid out as grams
     gram: np.ndarray
     item: np.ndarray
+    times: np.ndarray  # places of an anchor in its item
 
 
 def _needed(words: np.ndarray) -> np.ndarray:
@@ -67,15 +70,16 @@ def item_block(ids: list[int], texts: list[str]) -> Items:
     by_hash = np.lexsort((g, ~whole, rec)) - offsets[:-1][rec] if len(rec) else rec
     at = np.flatnonzero(whole)
     _, code, count = np.unique(g[at], return_inverse=True, return_counts=True)
-    # of each item's places the commonest are left out, as many as may be touched without being enough
+    # of each item's places the commonest are left out, as many as leave AGREE among those that must be touched
     order = np.lexsort((g[at], -count[code], rec[at]))
     at = at[order]
     first = np.searchsorted(rec[at], np.arange(len(ids)))
-    anchor = at[np.arange(len(at)) - first[rec[at]] >= _needed(np.diff(offsets))[rec[at]] - 1]
-    both = np.unique(np.stack([g[anchor].view(np.int64), rec[anchor]], 1), axis=0) if len(anchor) else np.zeros((0, 2), np.int64)
+    need = _needed(np.diff(offsets))
+    anchor = at[np.arange(len(at)) - first[rec[at]] >= (need - np.minimum(need, AGREE))[rec[at]]]
+    both, times = np.unique(np.stack([g[anchor].view(np.int64), rec[anchor]], 1), axis=0, return_counts=True) if len(anchor) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
     gram = np.ascontiguousarray(both[:, 0]).view(np.uint64)
     order = np.argsort(gram, kind="stable")
-    return Items(np.array(ids, np.int64), words, offsets, g, by_hash, gram[order], both[order, 1])
+    return Items(np.array(ids, np.int64), words, offsets, g, by_hash, gram[order], both[order, 1], times[order])
 
 
 def carried_words(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray) -> int:
@@ -164,6 +168,7 @@ def _scan(block, share: float) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = block.value
+        least = np.minimum(_needed(np.diff(items.offsets)), AGREE)
         for batch in batches:
             words, offsets = hashed_words(folded(batch.column(1)))
             g, whole = grams(words, offsets, GRAM)
@@ -173,7 +178,11 @@ def _scan(block, share: float) -> object:
             at = np.flatnonzero(hit)
             times = np.searchsorted(items.gram, g[at], side="right") - lo[at]
             entry = np.repeat(lo[at] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-            pairs = np.unique(owners(offsets)[np.repeat(at, times)] * len(items.ids) + items.item[entry])
+            once = np.unique(owners(offsets)[np.repeat(at, times)] * max(1, len(items.gram)) + entry)
+            doc, entry = once // max(1, len(items.gram)), once % max(1, len(items.gram))
+            pairs, of = np.unique(doc * len(items.ids) + items.item[entry], return_inverse=True)
+            touched = np.bincount(of, weights=items.times[entry], minlength=len(pairs))
+            pairs = pairs[touched >= least[pairs % max(1, len(items.ids))]]
             rows: list[tuple[int, int, int, int]] = []
             for d, i in zip((pairs // max(1, len(items.ids))).tolist(), (pairs % max(1, len(items.ids))).tolist()):
                 s = slice(offsets[d], offsets[d + 1])
@@ -235,9 +244,12 @@ def _by_join(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     placed = cut(items.select("k", "text").mapInArrow(_gram_rows, "item_id long, words long, place long, gram long").withColumnRenamed("item_id", "k"))
     common = placed.groupBy("gram").agg(F.count("*").alias("often"))
     order = Window.partitionBy("k").orderBy(F.desc("often"), "gram", "place")
-    anchors = cut(placed.join(common, "gram").withColumn("n", F.row_number().over(order)).where(f"n > greatest(1, ceil({TOUCHED} * words - 1e-9)) - 1").select("gram", "k").distinct())
+    need = F.expr(f"greatest(1, ceil({TOUCHED} * words - 1e-9))")
+    least = F.least(need, F.lit(AGREE))
+    rest = placed.join(common, "gram").withColumn("n", F.row_number().over(order)).where(F.col("n") > need - least)
+    anchors = cut(rest.groupBy("gram", "k").agg(F.count("*").alias("times"), F.max(least).alias("least")))
     bloom = spark.sparkContext.broadcast(bloom_of(anchors.select(F.col("gram").alias("id"))))
-    met = docs.mapInArrow(_doc_grams(bloom), "doc_id long, gram long").join(anchors, "gram").select("doc_id", "k").distinct()
+    met = docs.mapInArrow(_doc_grams(bloom), "doc_id long, gram long").distinct().join(anchors, "gram").groupBy("doc_id", "k").agg(F.sum("times").alias("touched"), F.max("least").alias("least")).where("touched >= least").select("doc_id", "k")
     pairs = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "k").select("doc_id", "text", "item_id", "item_text")
     return pairs.mapInArrow(_pairs_held(share), FOUND)
 
