@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["references", "nested", "flows", "graph", "corpus", "quality", "events"]
+MODULES = ["references", "nested", "flows", "graph", "corpus", "quality", "evidence", "events"]
 
 
 def _all(name: str) -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import learning as L
 from quern.operators import metrics as M
-from quern.session import table
+from quern.session import cut, table
 from quern.streaming import events as E
 
 
@@ -35,18 +35,34 @@ def positive_weights(spark, d):
 
 def linear_model_metrics(spark, d):
     """A linear model of a made label, its metrics on all rows."""
-    df = _labelled(spark, d)
+    df = cut(_labelled(spark, d))  # every round of fitting reads it
     scored = L.predict(L.train(df, FEATURES, "truth", "linear", maxIter=20), df)
     return M.rates(M.confusion(scored, [], F.col("truth"), F.col("prediction")))
 
 
+def _tree_metrics(spark, d, kind, **params):
+    df = cut(_labelled(spark, d))
+    scored = L.predict(L.train(df, FEATURES, "truth", kind, **params), df)
+    return M.rates(M.confusion(scored, [], F.col("truth"), F.col("prediction")))
+
+
+def forest_model_metrics(spark, d):
+    """A random forest of the same label, its metrics on all rows."""
+    return _tree_metrics(spark, d, "forest", numTrees=20, maxDepth=5)
+
+
+def boosted_model_metrics(spark, d):
+    """Boosted trees of the same label, their metrics on all rows."""
+    return _tree_metrics(spark, d, "boosted", maxIter=10, maxDepth=4)
+
+
 def linear_model_attributions(spark, d):
     df = _labelled(spark, d)
     model = L.train(df, FEATURES, "truth", "linear", maxIter=20)
     return L.mean_attributions(L.linear_attributions(model, df, FEATURES))
 
 
-QUERIES = {f.__name__: f for f in (event_windows, event_sliding_windows, event_sessions, positive_weights, linear_model_metrics, linear_model_attributions)}
+QUERIES = {f.__name__: f for f in (event_windows, event_sliding_windows, event_sessions, positive_weights, linear_model_metrics, linear_model_attributions, forest_model_metrics, boosted_model_metrics)}
 _FMT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 SQL = {
     "event_windows": f"select {_FMT.format('time_bucket(interval 6 hours, ts)')} window_start, event_type, count(*) events, round(sum(value), 4) total from events group by all",
