@@ -124,10 +124,27 @@ pre as (select r.* from ranked r join len_ using (id, side) where r.r <= n - cei
 cand as (select distinct a.id a, b.id b, a.side sa, b.side sb from pre a join pre b using (w, k) where {pairs}),
 both_ as (select c.a, c.b, any_value(x.n) n, any_value(y.n) m, count(*) o from cand c join len_ x on x.id = c.a and x.side = c.sa join len_ y on y.id = c.b and y.side = c.sb join tok s on s.id = c.a and s.side = c.sa join tok u on u.id = c.b and u.side = c.sb and u.w = s.w and u.k = s.k group by c.a, c.b, c.sa, c.sb)
 select distinct least(a, b) record_id_a, greatest(a, b) record_id_b from both_ where o * 100 >= 85 * greatest(n, m)"""
+_ACROSS = (
+    "txt as (select distinct record_id id, lower(trim(split)) in ('train', 'training') side, coalesce(output, '') t from gold_records where lower(trim(split)) in ('train', 'training', 'validation', 'valid', 'val', 'dev', 'test', 'testing', 'holdout')), "
+    + _ALIKE.replace("{pairs}", "a.side and not b.side and a.id <> b.id")
+)
+_WITHIN = "txt as (select distinct record_id id, 0 side, coalesce(instruction, '') || ' ' || coalesce(output, '') t from corpus_records), " + _ALIKE.replace("{pairs}", "a.id < b.id")
 SQL: dict[str, str] = {
-    "p4_found": "with txt as (select distinct record_id id, lower(trim(split)) in ('train', 'training') side, coalesce(output, '') t from gold_records where lower(trim(split)) in ('train', 'training', 'validation', 'valid', 'val', 'dev', 'test', 'testing', 'holdout')), "
-    + _ALIKE.replace("{pairs}", "a.side and not b.side and a.id <> b.id"),
-    "p6_found": "with txt as (select distinct record_id id, 0 side, coalesce(instruction, '') || ' ' || coalesce(output, '') t from corpus_records), " + _ALIKE.replace("{pairs}", "a.id < b.id"),
+    "p4_found": "with " + _ACROSS,
+    "p4_report": "with " + _ACROSS.replace("select distinct least(a, b) record_id_a, greatest(a, b) record_id_b from both_", "select distinct a, b from both_").replace("\nselect distinct a, b", ", leaks as (select distinct a, b").rstrip()
+    + """), held as (select distinct record_id b, case when lower(trim(split)) in ('validation', 'valid', 'val', 'dev') then 'validation' when lower(trim(split)) in ('test', 'testing', 'holdout') then 'test' end split from gold_records where lower(trim(split)) not in ('train', 'training')),
+ctx as (select record_id b, min(coalesce(lower(trim(base_context_id)), '')) base_context_id from gold_records group by 1)
+select split, base_context_id, count(distinct b) leaking_records, count(*) pairs from leaks join held using (b) join ctx using (b) where split is not null group by 1, 2""",
+    "p6_found": "with " + _WITHIN,
+    "p6_groups": "with recursive "
+    + _WITHIN.replace("\nselect distinct least(a, b) record_id_a", ", pairs as (select distinct least(a, b) record_id_a")
+    + """), ends as (select record_id_a u, record_id_b v from pairs union select record_id_b, record_id_a from pairs),
+reach as (select u node, u root from ends union select e.v, r.root from reach r join ends e on e.u = r.node),
+grp as (select node record_id, min(root) group_id from reach group by 1),
+bag as (select id, list_sort(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) bag from txt),
+many as (select bag, count(distinct id) class_rows from bag group by 1),
+links as (select u record_id, count(distinct y.bag) links from ends join bag x on x.id = u join bag y on y.id = v where x.bag <> y.bag group by 1)
+select record_id, group_id, class_rows, coalesce(links, 0) links from grp join bag on bag.id = record_id join many using (bag) left join links using (record_id)""",
     "p1_found": f"""
 with have as (select c0, c1, c2, count(distinct record_id) n from (select record_id, {_CELL} from corpus_records) group by all),
 want as (select *, {_CELL} from sample_targets)
