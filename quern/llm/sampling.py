@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 #: Buckets of the random keys of a category, by which the boundary of its sample is found.
 BUCKETS = 4096
 
@@ -74,6 +76,7 @@ def allocated(cells: DataFrame) -> DataFrame:
     its quota.
     """
     spark = cells.sparkSession
+    cells = cut(cells)  # one row a target; else the records would be counted again
     found = cells.where("cell is not null").groupBy("cell").agg(F.sum("target_share").alias("share"), F.max("min_rows").alias("least"), F.max("available").alias("available"), F.max("sample_size").alias("size")).collect()
     size = max([int(r["size"] or 0) for r in found], default=0)
     plan = quotas([(r.cell, float(r.share or 0), int(r.least or 0), int(r.available)) for r in found], size)
