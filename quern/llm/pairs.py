@@ -401,9 +401,11 @@ def synthetic_pairs(rows: list[tuple], reader: Reader, seed: int = 7) -> list[tu
             if rng.random() < 0.3:
                 ws = t.split(" ")
                 for _ in range(max(1, len(ws) // 15)):
-                    ws[rng.randrange(len(ws))] = rng.choice(["", "orchard", ws[rng.randrange(len(ws))]])
+                    i = rng.randrange(len(ws))
+                    k = rng.randrange(max(1, len(ws[i]) - 1))
+                    ws[i] = rng.choice(["", "orchard", ws[rng.randrange(len(ws))], ws[i][:k] + ws[i][k : k + 2][::-1] + ws[i][k + 2 :]])
                 t = " ".join(ws)
-            t = rng.choice([t, t, t.lower(), t.upper(), t.rstrip(".?!")])
+            t = rng.choice([t, t, t.lower(), t.upper(), t.rstrip(".?!") + rng.choice(["", "!", " .", "?"])])
             frame = rng.choice(_FRAMES)
             t = frame.format(*[t] * frame.count("{}"))
             if rng.random() < 0.3:
@@ -412,9 +414,9 @@ def synthetic_pairs(rows: list[tuple], reader: Reader, seed: int = 7) -> list[tu
         elif kind < 0.8:
             lang, t, closing = _declining(rng)
             t += closing
-            if lang in _REASONS and rng.random() < 0.4:
+            if lang in _REASONS and rng.random() < 0.5:
                 reasons = rng.sample(_REASONS[lang], rng.randint(3, len(_REASONS[lang])))
-                k = rng.choice([0, 0, len(reasons) // 2, len(reasons)])
+                k = rng.choice([0, rng.randint(1, len(reasons))])
                 t = " ".join([*reasons[:k], t, *reasons[k:]])
             t = rng.choice([t, t, t, t.lower(), json.dumps({rng.choice(keys): t}, ensure_ascii=False), json.dumps({"status": "declined", "message": t}, ensure_ascii=False), "```json\n" + json.dumps({"error": t, "evidence": []}, ensure_ascii=False) + "\n```"])
             out.append((ins, t, p, lim, "refusal"))
