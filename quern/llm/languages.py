@@ -149,6 +149,10 @@ class Languages:
         self.table = np.log(counts / counts.sum(0) + UNSEEN).astype(np.float32)
         self._known: dict[str, np.ndarray] = {}
 
+    def __getstate__(self) -> dict:
+        """Without the words seen so far, which only save time."""
+        return self.__dict__ | {"_known": {}}
+
     def _of_words(self, words: list[str]) -> np.ndarray:
         """What speaks for each language, by word."""
         flat, upto = _word_grams(words)
