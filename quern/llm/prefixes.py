@@ -1,8 +1,7 @@
 """Pairs of alike texts by prefixes of their rarest words: exact, whatever the order of the words.
 
 1. A text is the set of its *numbered words* (each word with its how-manieth occurrence), put into one order for
-   all texts: rarest first, by a table of counts of fixed size taken from a sample.  Any table gives the same
-   pairs; a good one gives short lists.
+   all texts: rarest first, by a table of fixed size of the counts in all texts.
 2. Two texts of n and m words are alike if they have at least T = ceil(percent / 100 * max(n, m)) numbered words in
    common.  Then the first common word stands among the first n - T + 1 of the one and m - T + 1 of the other, and the
    second among one more.  Every text is posted under each word of its prefix; under a frequent word it is
@@ -28,8 +27,8 @@ from quern.session import cut, ensure_importable
 #: Longs of a text's parity signature.
 SIGNATURE = 4
 POSTING = "key long, id long, mark long, " + ", ".join(f"s{k} long" for k in range(SIGNATURE))
-#: Texts whose words are counted, buckets of the counts (8 MB), texts from which on a word is frequent.
-SAMPLE, BUCKET_BITS, FREQUENT = 100_000, 21, 1024
+#: Buckets of the counts (8 MB), texts from which on a word is frequent.
+BUCKET_BITS, FREQUENT = 21, 1024
 #: Pairs that a task makes at once, some 60 MB.
 BLOCK_PAIRS = 1 << 20
 #: Bits of the Bloom filter of candidate ids (8 MB); beyond some 10 million candidates it lets more pass, no less.
@@ -42,9 +41,8 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens.view(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _counts(texts: DataFrame) -> tuple[np.ndarray, float]:
-    """(numbered words of a sample of ``texts`` by bucket, the count from which on a word is frequent)."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
+def _counts(texts: DataFrame) -> np.ndarray:
+    """The numbered words of all ``texts`` by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -53,11 +51,10 @@ def _counts(texts: DataFrame) -> tuple[np.ndarray, float]:
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], names=["at", "n"])
 
-    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    rows = texts.where(mark < int(share * (1 << 20))).select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BUCKET_BITS, np.int32)
     out[np.asarray(rows["at"])] = np.minimum(np.asarray(rows["n"]), 2**31 - 1)
-    return out, FREQUENT * share
+    return out
 
 
 def signatures(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -94,7 +91,7 @@ def prefix_keys(tokens: np.ndarray, offsets: np.ndarray, counts: np.ndarray, fre
     return key.view(np.int64), np.concatenate([rec[one], rec[first]]), np.concatenate([place[one], place[second] - 1])
 
 
-def _postings(counts, frequent: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _postings(counts, frequent: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """side, text -> postings; copies within a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +250,8 @@ def alike(texts: DataFrame, percent: int, cross: bool = False) -> tuple[DataFram
     """
     spark = texts.sparkSession
     ensure_importable(spark)
-    found, frequent = _counts(texts)
-    counts = spark.sparkContext.broadcast(found)
-    postings = texts.select("side", "text").mapInArrow(_postings(counts, frequent, percent), POSTING)
+    counts = spark.sparkContext.broadcast(_counts(texts))
+    postings = texts.select("side", "text").mapInArrow(_postings(counts, FREQUENT, percent), POSTING)
     candidates = cut(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_merge(cross, percent), "a long, b long").distinct())
     bloom = spark.sparkContext.broadcast(bloom_of(candidates.select(F.explode(F.array("a", "b")).alias("id"))))
     rows = cut(texts.select("row", "side", "text").mapInArrow(_texts(bloom), "row long, side byte, id long, n int, words array<long>"))

@@ -3,8 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quern.functions.words import hashed_words, numbered_words
+from quern.llm import prefixes
 from quern.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quern.llm.overlap import cross_split_overlap, overlap_pairs, overlap_report
 
@@ -156,3 +160,11 @@ def test_cross_split_overlap(spark):
     assert all(0.85 <= r.likeness <= 1 and 0 <= r.overlap <= 1 for r in found)
     assert sum(r.pairs for r in overlap_report(df).collect()) == len(want)
     assert overlap_pairs(df.limit(0)).count() == 0
+
+
+def test_every_text_is_counted(spark, monkeypatch):
+    rows = texts(6, 10, 10)
+    want = np.bincount(prefixes._bucket(numbered_words(*hashed_words(pa.array([t for _, t in rows])))), minlength=1 << prefixes.BUCKET_BITS)
+    monkeypatch.setattr(prefixes, "SAMPLE", 50, raising=False)
+    got = prefixes._counts(spark.createDataFrame(rows, "row long, text string").repartition(3))
+    assert (got == want).all()
