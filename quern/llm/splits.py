@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.overlap import split_name
 from quern.operators.components import connected_components
+from quern.operators.sampling import spread_rank
+from quern.session import cut
 
 # Ids that tie nothing.
 NO_TIE = ["", "unknown", "n/a", "none", "-"]
-#: Groups assigned one by one at most; smaller ones are each under 1 / BIG_GROUPS of all records.
-BIG_GROUPS = 20_000
 
 
 def tie(col: Column | str) -> Column:
@@ -54,38 +56,48 @@ def torn_groups(records: DataFrame, key: str = "record_id", ties: tuple[str, ...
     return flat.join(torn, "vertex").select("record_id", "group_id").distinct()
 
 
-def assign_splits(records: DataFrame, key: str = "record_id", ties: tuple[str, ...] = ("base_context_id", "sample_id"), shares: dict[str, float] | None = None, big: int = BIG_GROUPS) -> DataFrame:
+def turns(left: dict[str, Fraction], n: int, groups: int) -> list[tuple[int, list[str]]]:
+    """How ``groups`` groups of ``n`` records are assigned in turn, each to the split of which most is left.
+
+    The result is (rank from 0, splits): from that rank on the splits take turns.  ``left`` is reduced by what is
+    assigned; ties go to the split named first.  There are at most as many entries as splits.
+    """
+    names, out, at = list(left), [], 0
+    while at < groups:
+        top = max(names, key=lambda s: left[s])
+        rounds = {}
+        for s in names:
+            # whole rounds that ``top`` is ahead of s
+            rounds[s] = (left[top] - left[s]) // n
+            if rounds[s] and left[top] - left[s] == rounds[s] * n and names.index(s) < names.index(top):
+                rounds[s] -= 1
+        cycle = sorted((s for s in names if not rounds[s]), key=lambda s: (-left[s], names.index(s)))
+        take = min([groups - at, *(r * len(cycle) for r in rounds.values() if r)])
+        out.append((at, cycle))
+        for i, s in enumerate(cycle):
+            left[s] -= n * (take // len(cycle) + (i < take % len(cycle)))
+        at += take
+    return out
+
+
+def assign_splits(records: DataFrame, key: str = "record_id", ties: tuple[str, ...] = ("base_context_id", "sample_id"), shares: dict[str, float] | None = None) -> DataFrame:
     """(record_id, group_id, split): every record with a split of the given shares, tied records together.
 
-    Groups that hold at least 1 / ``big`` of all records (at most ``big`` of them) are assigned largest first,
-    each to the split furthest below its target; ties go to the split named first and then to the smaller
-    group_id.  The many smaller groups, each under 1 / ``big``, fill what is left in proportion, by the hash of
-    their group_id: the shares come out within about 1 / sqrt(big) of the target.
+    All groups are assigned largest first, each to the split furthest below its target; ties go to the split named
+    first.  Groups of one size come in a random order that depends on their group_id alone, so that only their
+    number is needed to know whose turn it is: the driver receives one row for each size that occurs.
     """
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     flat, groups = grouped(records, key, list(ties))
     # a record counts once, however often it was delivered and with whichever split
-    named = flat.select("record_id", "vertex").distinct().join(groups.select("vertex", "group_id", "size"), "vertex", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"), F.coalesce("size", F.lit(1)).alias("size"))
+    named = cut(flat.select("record_id", "vertex").distinct().join(groups.select("vertex", "group_id", "size"), "vertex", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id")))
     sizes = named.groupBy("group_id").agg(F.count("*").alias("n"))
-    total = int(sizes.agg(F.sum("n")).first()[0] or 0)
-    spark = records.sparkSession
-    if not total:
-        return named.select("record_id", "group_id", F.lit("").alias("split")).limit(0)
-    left = {name: share * total / sum(shares.values()) for name, share in shares.items()}
-    chosen: list[tuple[int, str]] = []
-    for r in sizes.where(F.col("n") >= max(2, total / big)).orderBy(F.desc("n"), "group_id").collect():
-        name = max(left, key=lambda s: left[s])
-        left[name] -= r.n
-        chosen.append((r.group_id, name))
-    rest = {name: max(0.0, v) for name, v in left.items()}
-    scale = sum(rest.values()) or 1.0
-    u = F.pmod(F.xxhash64(F.col("group_id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    by_hash, upto = F.lit(next(iter(shares))), 0.0
-    bounds = []
-    for name, v in rest.items():
-        upto += v / scale
-        bounds.append((name, upto))
-    for name, bound in reversed(bounds):
-        by_hash = F.when(u < bound, F.lit(name)).otherwise(by_hash)
-    picked = spark.createDataFrame(chosen, "group_id long, big_split string")
-    return named.join(F.broadcast(picked), "group_id", "left").select("record_id", "group_id", F.coalesce("big_split", by_hash).alias("split"))
+    classes = sorted(((r.n, r.many) for r in sizes.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True)
+    parts = {name: Fraction(str(share)) for name, share in shares.items()}
+    total = sum(n * many for n, many in classes)
+    left = {name: part * total / sum(parts.values()) for name, part in parts.items()}
+    order = records.sparkSession.createDataFrame([(n, turns(left, n, many)) for n, many in classes], "n long, turns array<struct<start: long, cycle: array<string>>>")
+    placed = spread_rank(sizes, ["n"], "group_id").join(F.broadcast(order), "n").withColumn("at", F.col("rank") - 1)
+    turn = F.element_at(F.filter("turns", lambda t: t["start"] <= F.col("at")), -1)
+    split = placed.withColumn("turn", turn).select("group_id", F.get("turn.cycle", ((F.col("at") - F.col("turn.start")) % F.size("turn.cycle")).cast("int")).alias("split"))
+    return named.join(split, "group_id").select("record_id", "group_id", "split")

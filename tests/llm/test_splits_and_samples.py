@@ -1,9 +1,11 @@
 import random
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 
 from quern.llm.sampling import matched_sample, quotas, shortfalls
-from quern.llm.splits import assign_splits, torn_groups
+from quern.llm.splits import assign_splits, torn_groups, turns
 
 SCHEMA = "record_id long, base_context_id string, sample_id string, split string"
 
@@ -95,3 +97,39 @@ def test_sample_takes_the_smallest_keys(spark, size):
     df = spark.range(5000).selectExpr("id record_id", "'a' task_type", "'b' ids_label", "'c' difficulty")
     t = spark.createDataFrame([("a", "b", "c", 1.0, 0, size)], f"{DIMS}, target_share double, min_rows int, sample_size long")
     assert matched_sample(df, t).count() == size
+
+
+def one_by_one(sizes, shares):
+    """The number of groups by size and split if each goes to the split of which most is left, largest first."""
+    left = {s: Fraction(str(v)) * sum(sizes) / sum(Fraction(str(x)) for x in shares.values()) for s, v in shares.items()}
+    out = []
+    for n in sorted(sizes, reverse=True):
+        name = max(left, key=lambda s: left[s])
+        left[name] -= n
+        out.append((n, name))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_turns_are_those_of_one_by_one(seed):
+    rng = random.Random(seed)
+    shares = rng.choice([{"train": 0.8, "validation": 0.1, "test": 0.1}, {"a": 0.5, "b": 0.5}, {"a": 0.1, "b": 0.2, "c": 0.3, "d": 0.4}, {"a": 1.0}])
+    sizes = [rng.choice([1, 1, 1, 2, 2, 3, 5, 40]) for _ in range(rng.randrange(1, 120))]
+    left = {s: Fraction(str(v)) * sum(sizes) / sum(Fraction(str(x)) for x in shares.values()) for s, v in shares.items()}
+    got = []
+    for n, many in sorted(Counter(sizes).items(), reverse=True):
+        runs = turns(left, n, many)
+        for at in range(many):
+            start, cycle = [r for r in runs if r[0] <= at][-1]
+            got.append((n, cycle[(at - start) % len(cycle)]))
+    assert got == one_by_one(sizes, shares)
+
+
+def test_assignment_is_the_same_whatever_the_size(spark):
+    """42000 records in groups of one to three: before, groups of two or fewer were left to their hash from 40000 records on."""
+    free = [(i, None, f"s{i // 2}" if i < 36000 else f"t{i // 3}" if i < 39000 else None, None) for i in range(42000)]
+    got = assign_splits(spark.createDataFrame(free, SCHEMA)).collect()
+    size = Counter(r.group_id for r in got)
+    split = {r.group_id: r.split for r in got}
+    assert Counter((size[g], split[g]) for g in size) == Counter(one_by_one(list(size.values()), {"train": 0.8, "validation": 0.1, "test": 0.1}))
+    assert Counter(r.split for r in got) == {"train": 33600, "validation": 4200, "test": 4200}
