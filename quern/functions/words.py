@@ -15,6 +15,9 @@ import xxhash
 SEPARATORS = r"[^\p{L}\p{N}]+"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Of lower-case texts, the bytes of ASCII letters and digits and of all other characters.
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,20 +34,39 @@ def as_text(col: pa.Array) -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
-def hashed_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, offsets): the words of record i are hashes[offsets[i]:offsets[i + 1]]."""
+def coded_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, number of each word among them, offsets of the records).
+
+    Words are found byte by byte; texts with other letters than ASCII first get blanks for their separators.
+    """
     if len(text) == 0:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    lists = pc.split_pattern_regex(pc.utf8_lower(as_text(text)), pattern=SEPARATORS)
-    offsets = np.asarray(lists.offsets).astype(np.int64)
-    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    offsets = offsets - offsets[0]
-    entries = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    low = pc.utf8_lower(as_text(text))
+    other = pc.invert(pc.string_is_ascii(low))
+    if pc.any(other).as_py():
+        low = pc.replace_with_mask(low, other, pc.replace_substring_regex(low.filter(other), pattern=SEPARATORS, replacement=" "))
+    _, ends, data = low.buffers()
+    ends = np.frombuffer(ends, np.int64)[low.offset : low.offset + len(low) + 1]
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    inside = _IN_WORD[data]
+    apart = np.ones(len(data) + 1, bool)  # whether a byte and the one before it are of different words
+    apart[1:-1] = ~(inside[1:] & inside[:-1])
+    apart[ends] = True
+    first = np.flatnonzero(inside & apart[:-1])
+    after = np.flatnonzero(inside & apart[1:]) + 1
+    upto = np.concatenate([[0], np.cumsum(after - first)])
+    found = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(upto), pa.py_buffer(data[inside])])
+    coded = found.dictionary_encode()
+    entries = coded.dictionary.to_pylist()
     table = np.fromiter((xxhash.xxh64_intdigest(x) for x in entries), np.uint64, len(entries))
-    codes = np.asarray(coded.indices)
-    real = np.fromiter((x != b"" for x in entries), bool, len(entries))[codes]
-    upto = np.concatenate([[0], np.cumsum(real)])
-    return table[codes][real], upto[offsets]
+    return table, np.asarray(coded.indices).astype(np.int64), np.searchsorted(first, ends)
+
+
+def hashed_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, offsets): the words of record i are hashes[offsets[i]:offsets[i + 1]]."""
+    table, codes, offsets = coded_words(text)
+    return table[codes], offsets
 
 
 def owners(offsets: np.ndarray) -> np.ndarray:
@@ -79,6 +101,19 @@ def numbered_words(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(w + _GOLD * nth.astype(np.uint64)).view(np.int64)
 
 
+def numbered_codes(codes: np.ndarray, distinct: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, how-manieth occurrence) of the words of each record, by record and code; see ``coded_words``."""
+    base = owners(offsets) * distinct
+    at = np.sort(base + codes)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), at[1:] != at[:-1]]))
+    return at - base, np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+
+
+def number(hashes: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Numbered words of their hashes and occurrences, as ``numbered_words``."""
+    return mix(hashes + _GOLD * nth.astype(np.uint64)).view(np.int64)
+
+
 def grams(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the ``size`` words from each word on, whether they all lie in one record)."""
     n = len(words)

@@ -1,13 +1,15 @@
 """Near-duplicates and overlaps against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
-from quern.functions.words import hashed_words, numbered_words
+from quern.functions.words import bag_ids, coded_words, hashed_words, numbered_words
 from quern.llm import prefixes
 from quern.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quern.llm.overlap import cross_split_overlap, overlap_pairs, overlap_report
@@ -168,3 +170,37 @@ def test_every_text_is_counted(spark, monkeypatch):
     monkeypatch.setattr(prefixes, "SAMPLE", 50, raising=False)
     got = prefixes._counts(spark.createDataFrame(rows, "row long, text string").repartition(3))
     assert (got == want).all()
+
+
+def test_frequent_words_meet_under_one_key_each(spark, monkeypatch):
+    """With words of over 5 texts posted with their seconds, over several keys from 20 texts on, and small blocks, no pair is lost."""
+    monkeypatch.setattr(prefixes, "FREQUENT", 5)
+    monkeypatch.setattr(prefixes, "KEY_ROWS", 20)
+    monkeypatch.setattr(prefixes, "BLOCK_PAIRS", 64)
+    monkeypatch.setattr(prefixes, "MERGED_ROWS", 100)
+    rows = texts(7, 60, 30)
+    want = brute(rows)
+    tab = pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int8()), pa.array([t for _, t in rows])], names=["side", "text"])
+
+    class Counts:
+        value = prefixes._counts(spark.createDataFrame(rows, "row long, text string"))
+
+    posted = pa.Table.from_batches(prefixes._postings(Counts, 5, 85)(iter([tab]))).sort_by("key")
+    # one row for each word of the prefix and key, whatever the number of its seconds
+    sizes = [len(t.split()) for _, t in rows]
+    assert len(set(posted["key"].to_pylist())) > 100 and max(map(len, posted["seconds"].to_pylist())) > 5
+    found = pa.Table.from_batches(prefixes._merge(False, 85)(iter(posted.to_batches(37))))
+    ids = dict(zip(range(len(rows)), bag_ids(*hashed_words(tab.column(1))).tolist()))
+    pairs = {tuple(sorted((ids[a], ids[b]))) for a, b in want if ids[a] != ids[b]}
+    assert pairs <= set(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+    whole = pa.Table.from_batches(prefixes._postings(Counts, 1 << 30, 85)(iter([tab])))
+    assert len(whole) <= sum(n - (n * 85 + 99) // 100 + 1 for n in sizes) and not any(whole["seconds"].to_pylist())
+
+
+def test_words_of_all_letters_are_told_apart():
+    rows = ["Ab_c  d9", None, "", "!?", "Straße, Ünï—x", "日本 語x١٢", "tail", "a b'c", "head"]
+    want = [[w for w in re.split(r"[^\w]|_", (t or "").lower()) if w] for t in rows]
+    table, codes, offsets = coded_words(pa.array(rows))
+    assert np.diff(offsets).tolist() == [len(w) for w in want]
+    assert table[codes].tolist() == [xxhash.xxh64_intdigest(w.encode()) for t in want for w in t]
+    assert np.diff(hashed_words(pa.array([None, ""]))[1]).tolist() == [0, 0]
